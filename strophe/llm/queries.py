@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from strophe.llm import decontaminate, line_dedup
+from strophe.llm import chat_format, decontaminate, html_extract, line_dedup, ngram_join
 
 MODULES = {
     "op1_line_dedup": line_dedup,
+    "op5_chat_formatting": chat_format,
+    "op7_ngram_jaccard_join": ngram_join,
     "op8_benchmark_decontamination": decontaminate,
+    "op10_html_extraction": html_extract,
 }
 
 
