@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strophe.llm import chat_format, decontaminate, html_extract, line_dedup, ngram_join
+from strophe.llm import chat_format, decontaminate, html_extract, line_dedup, ngram_join, packing
 
 MODULES = {
     "op1_line_dedup": line_dedup,
     "op5_chat_formatting": chat_format,
+    "op6_packing": packing,
     "op7_ngram_jaccard_join": ngram_join,
     "op8_benchmark_decontamination": decontaminate,
     "op10_html_extraction": html_extract,
