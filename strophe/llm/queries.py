@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strophe.llm import chat_format, decontaminate, html_extract, line_dedup, ngram_join, packing
+from strophe.llm import chat_format, decontaminate, html_extract, line_dedup, media, ngram_join, packing, toxicity
 
 MODULES = {
     "op1_line_dedup": line_dedup,
+    "op3_toxicity": toxicity,
+    "op4_media_columns": media,
     "op5_chat_formatting": chat_format,
     "op6_packing": packing,
     "op7_ngram_jaccard_join": ngram_join,
