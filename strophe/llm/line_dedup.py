@@ -72,11 +72,12 @@ def dedup(docs: DataFrame, site: str = "source", text: str = "text", doc: str =
     lines = _lines(base, "site", "text", min_words)
     bad = boilerplate(lines, min_sites)
     first = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.rid") == F.col("rid")) & (F.col("first.line_no") == F.col("line_no"))
-    gone = lines.join(bad, ["h1", "h2"]).filter(~first).groupBy("rid").agg(F.collect_set("line_no").alias("gone"))
+    gone = lines.join(bad.hint("merge"), ["h1", "h2"]).filter(~first).groupBy("rid").agg(F.collect_set("line_no").alias("gone"))
     gone = stored(gone, "line-gone")
+    # Both tables grow with the corpus: they are merged at every size, never broadcast.
     split = F.split(F.col("text"), "\n", -1)
     cut = F.array_join(F.expr("filter(split(text, '\\n', -1), (l, k) -> NOT array_contains(gone, k))"), "\n")
-    return base.join(gone, "rid", "left").select(
+    return base.join(gone.hint("merge"), "rid", "left").select(
         "row.*",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(cut).alias(out),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"),

@@ -11,11 +11,12 @@ are more blocks than D, so by the pigeonhole a similar pair has equal blocks, an
   publish those (another block of the pair is equal, too); one with more publishes them all. So no link is lost and
   empty blocks gather no crowds.
 
-Documents with equal sets are one class from the start and travel as one signature. In each block bucket the classes
-are compared with the bucket's most connected classes (its hubs): first one, then 8 times as many each round, and only
-where a bucket still holds several components. What a bucket needs is one connected component, not all its pairs; the
-rounds go on until every bucket is either one component or has compared all pairs, so the components are exact.
-Candidates are verified on the full shingle sets of the texts.
+Documents with equal sets are one class from the start and travel as one signature. What a block bucket needs is its
+connected components, not all its pairs. First each class is compared with the most connected class of its buckets,
+which leaves one component of most groups of copies. In buckets that still hold several components, members are then
+compared in tiles of ``TILE`` by a parity sketch of ``SKETCH`` bits: what is left of the pairs is named, for each two
+components the nearest first, until no pair is unnamed that could still join two components, so the components are
+exact. Candidates are verified on the full shingle sets of the texts.
 
 Nothing is collected to the driver but counts. Shingle hashes have 64 bits.
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import discard, row_key, stored, table
+from strophe.llm.common import discard, row_key, session_conf, stored, table
 from strophe.llm.components import components
 from strophe.llm.wordhash import mix, shingle_sets
 
@@ -44,6 +45,12 @@ SIMILARITY = (80, 100)
 #: Signatures a task remembers so as to publish a class once.
 SEEN = 500_000
 SLICE = 500
+#: Parity bits compared before texts are.
+SKETCH = 1024
+#: Classes of a bucket that are compared as one block with another such block.
+TILE = 256
+#: Pairs of two components a block may name in each round; the last is all of them.
+QUOTAS = (1, 64, TILE * TILE)
 
 
 @cache
@@ -173,58 +180,119 @@ def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return rows.join(wanted, "rid").select("sig", "n", "text")
 
 
+def sketches(texts: DataFrame, k: int) -> DataFrame:
+    """(sig, sketch): SKETCH parity bits of each class; each shingle flips one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                bits = [np.bincount((mix(u) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1 for u in shingle_sets(part.column("text"), k)]
+                packed = [np.packbits(b.astype(np.uint8)).tobytes() for b in bits]
+                yield pa.RecordBatch.from_arrays([part.column("sig"), pa.array(packed, pa.binary())], ["sig", "sketch"])
+
+    return texts.select("sig", "text").mapInArrow(run, "sig long, sketch binary")
+
+
+def _near(tiles: DataFrame, p: int, q: int, quota: int) -> DataFrame:
+    """Pairs (a, b) across two tiles of a bucket that may be similar by size and by the Hamming distance of their
+    sketches and lie in different components: of each two components the ``quota`` nearest."""
+
+    def tile(rows: list[dict]) -> tuple[np.ndarray, ...]:
+        sig = np.array([r["sig"] for r in rows], np.int64)
+        n = np.array([r["n"] for r in rows], np.int64)
+        label = np.array([r["label"] for r in rows], np.int64)
+        return sig, n, label, np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sa, na, la, xa = tile(batch.column("x")[i].as_py())
+                sb, nb, lb, xb = tile(batch.column("y")[i].as_py())
+                ok = (la[:, None] != lb) & (q * np.minimum(na[:, None], nb) >= p * np.maximum(na[:, None], nb))
+                if batch.column("same")[i].as_py():
+                    ok &= sa[:, None] < sb
+                ia, ib = np.nonzero(ok)
+                away = np.zeros(len(ia), np.int64)
+                for w in range(xa.shape[1]):
+                    away += np.bitwise_count(xa[ia, w] ^ xb[ib, w])
+                good = away <= (q - p) * (na[ia] + nb[ib]) // (q + p)
+                ia, ib, away = ia[good], ib[good], away[good]
+                if len(ia):
+                    lo, hi = np.minimum(la[ia], lb[ib]), np.maximum(la[ia], lb[ib])
+                    order = np.lexsort((away, hi, lo))
+                    ia, ib, lo, hi = ia[order], ib[order], lo[order], hi[order]
+                    first = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+                    place = np.arange(len(ia)) - np.maximum.accumulate(np.where(first, np.arange(len(ia)), 0))
+                    ia, ib = ia[place < quota], ib[place < quota]
+                a, b = sa[ia], sb[ib]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return tiles.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    ta = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta"))
+    tb = texts.select(F.col("sig").alias("b"), F.col("text").alias("tb"))
+    return stored(verify(pairs.join(ta, "a").join(tb, "b"), k, p, q), "links")
+
+
 def classes_linked(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, text: str = "text") -> DataFrame:
     """(sig, label): the component of every class that links with another; the label is one of its signatures."""
+    # Tables here grow with the corpus: they are merged at every size, never broadcast.
+    with session_conf(docs.sparkSession, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        return _classes_linked(docs, stats, k, p, q, text)
+
+
+def _classes_linked(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, text: str) -> DataFrame:
     bucket = Window.partitionBy("key")
-    members = (
+    found = (
         publish(docs, k, p, q, text)
         .withColumns({"lo": F.min("sig").over(bucket), "hi": F.max("sig").over(bucket)})
         .filter(F.col("lo") != F.col("hi"))
         .select("key", "sig")
+        .distinct()
     )
-    members = stored(members, "buckets").distinct()
+    found = stored(found, "buckets")
+    sized = found.withColumn("size", F.count("*").over(bucket))
     one = stats.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("rid").alias("rid"), F.first("n").alias("n"))
-    sized = members.withColumn("size", F.count("*").over(bucket))
-    popular = sized.groupBy("sig").agg(F.sum("size").alias("pop")).join(one, "sig")
-    popular = stored(popular, "popular")
+    popular = stored(sized.groupBy("sig").agg(F.sum("size").alias("pop")).join(one, "sig"), "popular")
     texts = stored(_texts(docs, popular.select("sig", "n", "rid"), text), "class-texts")
-    ranked = sized.join(popular.select("sig", "n", "pop"), "sig").withColumn("rank", F.row_number().over(bucket.orderBy(F.desc("pop"), "sig")))
+    ranked = sized.join(popular.select("sig", "n", "pop"), "sig")
+    # Buckets of the same members are one: the rest of them adds no pair.
+    members = ranked.groupBy("key").agg(F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("sum"), F.max("size").alias("size"))
+    members = members.groupBy("sum", "size").agg(F.min("key").alias("key")).select("key")
+    ranked = ranked.join(members, "key").withColumn("rank", F.row_number().over(bucket.orderBy(F.desc("pop"), "sig")))
     ranked = stored(ranked.select("key", "sig", "n", "size", "rank"), "ranked")
 
-    label = links = tested = None
-    low, high = 0, 1
-    while True:
-        open_ = ranked.filter(F.col("size") > low + 1)
-        if label is None:
-            open_ = open_.withColumn("label", F.col("sig"))
-        else:
-            open_ = open_.join(label.withColumnRenamed("label", "l"), "sig", "left").withColumn("label", F.coalesce("l", "sig")).drop("l")
-            open_ = open_.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket)}).filter(F.col("lo") != F.col("hi")).drop("lo", "hi")
-        hubs = open_.filter((F.col("rank") > low) & (F.col("rank") <= high)).select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("label").alias("la"))
-        pairs = (
-            open_.join(hubs, "key")
-            .filter((F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la")))
-            .filter(q * F.least("n", "na") >= p * F.greatest("n", "na"))
-            .select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if not pairs.isEmpty():
-            ta = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta"))
-            tb = texts.select(F.col("sig").alias("b"), F.col("text").alias("tb"))
-            found = stored(verify(pairs.join(ta, "a").join(tb, "b"), k, p, q), "links")
-            links = found if links is None else links.unionByName(found)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            if not found.isEmpty():
-                label = components(links)
-        low, high = high, high * 8
-        if ranked.filter(F.col("size") > low + 1).isEmpty():
+    # First round: each bucket's most connected class against all others.
+    hubs = ranked.filter("rank = 1").select("key", F.col("sig").alias("a"), F.col("n").alias("na"))
+    pairs = ranked.filter("rank > 1").join(hubs, "key").filter(q * F.least("n", "na") >= p * F.greatest("n", "na"))
+    tested = stored(pairs.select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct(), "pairs")
+    links = _verified(tested, texts, k, p, q)
+    label = components(links)
+
+    # Further rounds: in the buckets that still hold several components, pairs of members by their sketches.
+    more = stored(ranked.filter("size > 2").join(sketches(texts, k), "sig"), "sketched")
+    for quota in QUOTAS:
+        now = more.join(label.withColumnRenamed("label", "l"), "sig", "left").withColumn("label", F.coalesce("l", "sig")).drop("l")
+        now = now.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket)}).filter(F.col("lo") != F.col("hi"))
+        tiles = now.groupBy("key", F.floor((F.col("rank") - 1) / TILE).alias("tile")).agg(F.collect_list(F.struct("sig", "n", "label", "sketch")).alias("x"))
+        tiles = stored(tiles, "tiles")
+        other = tiles.select("key", F.col("tile").alias("tile2"), F.col("x").alias("y"))
+        both = tiles.join(other, "key").filter(F.col("tile") <= F.col("tile2")).select("x", "y", (F.col("tile") == F.col("tile2")).alias("same"))
+        with session_conf(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "50"}):
+            near = stored(_near(both, p, q, quota), "near")
+        discard(tiles)
+        if near.isEmpty():
             break
-    discard(members, popular, texts, ranked)
-    if label is None:
-        label = stats.select("sig", F.col("sig").alias("label")).limit(0)
+        pairs = stored(near.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(_verified(pairs, texts, k, p, q))
+        label = components(links)
+    discard(found, popular, texts, ranked, more)
     return label
 
 
