@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strophe.functions import match, model, text
 from strophe.operators import clean, detect, retime, search
@@ -47,7 +49,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _gathered(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
     """An array of values for each key, in order: what one document holds."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, value.alias("_v")))).alias("_a"))
+    rows = df.groupBy(*keys).agg(F.collect_list(F.struct(F.struct(*order).alias("_k"), value.alias("_v"))).alias("_a"))
+    # Values may hold maps, which have no order: the key alone is compared.
+    rows = rows.withColumn("_a", F.array_sort("_a", lambda a, b: F.when(a["_k"] < b["_k"], -1).when(a["_k"] > b["_k"], 1).otherwise(0)))
     return rows.select(*keys, F.transform("_a", lambda x: x["_v"]).alias(out))
 
 
@@ -122,14 +126,14 @@ def sync_type(spark, sf_dir):
 
 _I = """i AS (SELECT l_orderkey, l_linenumber, l_returnflag || l_linenumber AS txt, l_linenumber * 1000 AS s, CAST(l_quantity AS INTEGER) * 10 AS d,
   min(l_linenumber) OVER (PARTITION BY l_orderkey) * 1000 AS first FROM lineitem)"""
-_HEAD = "'[' || any_value(first) || ',' || (arg_max(s + d, l_linenumber) - any_value(first)) || ']'"
+_HEAD = "'[' || any_value(first) || ',' || (last(s + d ORDER BY l_linenumber, txt, d) - any_value(first)) || ']'"
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(l_orderkey, lines): one line whose syllables are the order's items."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("t"), (F.col("l_linenumber") * 1000).alias("s"), (F.col("l_quantity").cast("int") * 10).alias("d"))
     value = F.struct(F.col("t").alias("text"), F.col("s").alias("start_ms"), (F.col("s") + F.col("d")).alias("end_ms")).cast(SYLLABLE)
-    found = _gathered(items, ["l_orderkey"], ["l_linenumber"], value, "syllables")
+    found = _gathered(items, ["l_orderkey"], ["l_linenumber", "t", "d"], value, "syllables")
     return found.select("l_orderkey", F.array(model.syllable_line(F.col("syllables"), "Left")).cast(f"array<{LINE}>").alias("lines"))
 
 
@@ -138,7 +142,7 @@ def _generated(name: str, head: str, one: str, between: str = "") -> None:
         return order_lines(spark, sf_dir).select("l_orderkey", writer(F.col("lines")).alias("made"))
 
     _QUERIES[f"{name}_generate"] = run
-    _SQL[f"{name}_generate"] = f"WITH {_I} SELECT l_orderkey, {head} || string_agg({one}, '{between}' ORDER BY l_linenumber) || chr(10) AS made FROM i GROUP BY l_orderkey"
+    _SQL[f"{name}_generate"] = f"WITH {_I} SELECT l_orderkey, {head} || string_agg({one}, '{between}' ORDER BY l_linenumber, txt, d) || chr(10) AS made FROM i GROUP BY l_orderkey"
 
 
 def _parsed(name: str, parser: Callable[[Column], Column], writer: Callable[[Column], Column]) -> None:
@@ -147,27 +151,27 @@ def _parsed(name: str, parser: Callable[[Column], Column], writer: Callable[[Col
         return made.select("l_orderkey", F.posexplode(F.get("lines", F.lit(0))["syllables"]).alias("syllable_no", "x")).select("l_orderkey", "syllable_no", "x.*")
 
     _QUERIES[f"{name}_parse"] = run
-    _SQL[f"{name}_parse"] = f"WITH {_I} SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS syllable_no, txt AS text, s AS start_ms, s + d AS end_ms FROM i"
+    _SQL[f"{name}_parse"] = f"WITH {_I} SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, txt, d) - 1 AS INTEGER) AS syllable_no, txt AS text, s AS start_ms, s + d AS end_ms FROM i"
 
 
 _generated("qrc", _HEAD, "txt || '(' || s || ',' || d || ')'")
 _generated("krc", _HEAD, "'<' || (s - first) || ',' || d || ',0>' || txt", ",0>")
 _generated("yrc", _HEAD, "'(' || s || ',' || d || ',0)' || txt")
 _generated("syllable", "'[4]'", "txt || '(' || s || ',' || d || ')'")
-_generated("lines", "'[' || any_value(first) || ',' || arg_max(s + d, l_linenumber) || ']'", "txt")
+_generated("lines", "'[' || any_value(first) || ',' || last(s + d ORDER BY l_linenumber, txt, d) || ']'", "txt")
 _parsed("qrc", syllabic.parse_qrc, generate.qrc)
 _parsed("krc", syllabic.parse_krc, lambda x: generate.krc(x, canonical=True))
 _parsed("yrc", syllabic.parse_yrc, generate.yrc)
 _parsed("syllable", syllabic.parse_syllable, generate.syllable)
 
 
-@query(f"WITH {_I} SELECT l_orderkey, string_agg(txt, '' ORDER BY l_linenumber) AS text, any_value(first) AS start_ms, arg_max(s + d, l_linenumber) AS end_ms FROM i GROUP BY l_orderkey")
+@query(f"WITH {_I} SELECT l_orderkey, string_agg(txt, '' ORDER BY l_linenumber, txt, d) AS text, any_value(first) AS start_ms, last(s + d ORDER BY l_linenumber, txt, d) AS end_ms FROM i GROUP BY l_orderkey")
 def lines_parse(spark, sf_dir):
     made = order_lines(spark, sf_dir).select("l_orderkey", syllabic.parse_lines(generate.lines_dialect(F.col("lines")))["lines"].alias("lines"))
     return explode_lines(made).select("l_orderkey", "text", "start_ms", "end_ms")
 
 
-@query(f"WITH {_I} SELECT l_orderkey, string_agg(txt, '' ORDER BY l_linenumber) AS text, any_value(first) AS start_ms, arg_max(s + d, l_linenumber) AS end_ms, 'Left' AS alignment FROM i GROUP BY l_orderkey")
+@query(f"WITH {_I} SELECT l_orderkey, string_agg(txt, '' ORDER BY l_linenumber, txt, d) AS text, any_value(first) AS start_ms, last(s + d ORDER BY l_linenumber, txt, d) AS end_ms, 'Left' AS alignment FROM i GROUP BY l_orderkey")
 def downgrade_sync(spark, sf_dir):
     down = order_lines(spark, sf_dir).select("l_orderkey", clean.to_line_synced(F.col("lines")).alias("lines"))
     return explode_lines(down).select("l_orderkey", "text", "start_ms", "end_ms", "alignment")
@@ -180,7 +184,7 @@ def convert_qrc_to_lrc(spark, sf_dir):
     return out.select("l_orderkey", F.regexp_extract("converted", r"^\[([^\]]*)\]", 1).alias("a"), F.concat(F.lit("ends "), F.col("n").cast("string")).alias("b"))
 
 
-@query(f"WITH {_I} SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS syllable_no, txt AS text, s AS start_ms, s + d AS end_ms FROM i")
+@query(f"WITH {_I} SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, txt, d) - 1 AS INTEGER) AS syllable_no, txt AS text, s AS start_ms, s + d AS end_ms FROM i")
 def spotify_parse(spark, sf_dir):
     def doc(lines: Column) -> Column:
         x = F.get(lines, F.lit(0))
@@ -203,7 +207,7 @@ def musixmatch_parse(spark, sf_dir):
     return explode_lines(made).select("user_id", "line_no", "start_ms", "text")
 
 
-@query(f"WITH {_I} SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS syllable_no, txt AS text, s AS start_ms, s + d AS end_ms FROM i")
+@query(f"WITH {_I} SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, txt, d) - 1 AS INTEGER) AS syllable_no, txt AS text, s AS start_ms, s + d AS end_ms FROM i")
 def ttml_parse(spark, sf_dir):
     span = F.transform(F.get("lines", F.lit(0))["syllables"], lambda s: F.format_string('<span begin="%.3f" end="%.3fs">%s</span>', s["start_ms"] / 1000.0, s["end_ms"] / 1000.0, s["text"]))
     doc = F.concat(F.lit('<tt xmlns="http://www.w3.org/ns/ttml"><body><div><p begin="0" end="9">'), F.array_join(span, ""), F.lit("</p></div></body></tt>"))
@@ -356,9 +360,6 @@ def script_conversion(spark, sf_dir):
 
 
 def _encoded(encode) -> Callable[[Column], Column]:
-    import pyarrow as pa
-    from pyspark.sql.types import StringType
-
     def run(values: pa.Array) -> pa.Array:
         return pa.array([encode(v) for v in values.to_pylist()], pa.string())
 
