@@ -12,7 +12,7 @@ only part that does not see all rows. Scoring is one pass over all texts without
 
 Defined results: null and empty texts cast no votes and get the classifier's base score; documents without a label are
 scored like all others; several labels of one document count as toxic if any is; without labels of both classes every
-score is the smoothed share of toxic labels (0 without labels).
+score is the smoothed share of toxic labels (0 but for a billionth without labels).
 """
 
 from __future__ import annotations
