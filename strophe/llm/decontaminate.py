@@ -148,7 +148,10 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are not contaminated, unchanged."""
     found = scan(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col(f"`{text}`").alias("_t")), index(benchmark), "_t")
-    return found.filter(~contaminated(covered(F.col("hits")), F.size("w"))).select("_row.*")
+    marked = found.select("_row", contaminated(covered(F.col("hits")), F.size("w")).alias("_bad"), F.monotonically_increasing_id().alias("_at"))
+    # A filter on _bad alone would be pushed below the words and put their split inside the scan's lambdas, once for
+    # each word of a text. The row number is not deterministic, so a filter that needs it stays above.
+    return marked.filter(~F.col("_bad") & (F.col("_at") >= 0)).select("_row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
