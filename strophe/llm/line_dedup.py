@@ -6,8 +6,8 @@ sketch per task). Lines whose estimate is clearly over ``min_sites`` are boilerp
 lines within ``NEAR`` of the threshold get an exact distinct count. Of a boilerplate line the first occurrence of the
 corpus (lowest doc_id, then line number) stays, so no text leaves the corpus altogether; all others are removed.
 
-A line is what stands between line feeds, compared without the white space at its ends. Lines under ``min_words``
-words are never boilerplate: single words meet by chance on many sites.
+A line is what stands between line feeds, compared without the white space at its ends. The spread of every line that
+is not blank is counted. ``min_words`` leaves shorter lines out; only op1_line_dedup, whose SQL has such a bar, sets it.
 
 Defined results: a null text stays null and has no lines; an empty text has one empty line, which stays; a null site
 counts as one site of its own; repeated rows of one doc_id and text are told apart by their place in the scan.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from strophe.llm.common import row_key, stored, table
 
 MIN_SITES = 5
+#: The bar of op1_line_dedup and its SQL.
 MIN_WORDS = 4
 #: lgK of the sketches: relative standard error about 1.04 / sqrt(2 ** LG_K) = 1.6 %.
 LG_K = 12
@@ -62,7 +63,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     return sure.select("h1", "h2", "first").unionByName(unsure.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
 
 
-def dedup(docs: DataFrame, site: str = "source", text: str = "text", doc: str = "doc_id", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, out: str = "clean") -> DataFrame:
+def dedup(docs: DataFrame, site: str = "source", text: str = "text", doc: str = "doc_id", min_sites: int = MIN_SITES, min_words: int = 1, out: str = "clean") -> DataFrame:
     """``docs`` with ``clean`` (the text without removed lines), ``n_lines`` and ``n_removed``.
 
     The order of what stays is kept. A document whose lines all go ends with an empty text.
@@ -85,9 +86,14 @@ def dedup(docs: DataFrame, site: str = "source", text: str = "text", doc: str =
     )
 
 
-def query(spark, sf_dir: str) -> DataFrame:
+def query(spark, sf_dir: str, min_words: int = MIN_WORDS) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return dedup(docs).select("doc_id", "n_lines", "n_removed", _sha(F.col("clean")).alias("clean_sha256"), F.char_length("clean").cast("long").alias("clean_chars"))
+    return dedup(docs, min_words=min_words).select("doc_id", "n_lines", "n_removed", _sha(F.col("clean")).alias("clean_sha256"), F.char_length("clean").cast("long").alias("clean_chars"))
+
+
+def query_all(spark, sf_dir: str) -> DataFrame:
+    """Lines of any number of words."""
+    return query(spark, sf_dir, 1)
 
 
 def _sha(c: Column) -> Column:
@@ -114,3 +120,7 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_
        sha256(clean) AS clean_sha256, CAST(length(clean) AS BIGINT) AS clean_chars
 FROM d LEFT JOIN c USING (rid)
 """
+
+#: The same without the bar.
+SQL_ALL = SQL.replace(rf"regexp_matches(k, '^(?:[^\x09-\x0D\x20]+[\x09-\x0D\x20]+){{{MIN_WORDS - 1}}}[^\x09-\x0D\x20]')", "k <> ''")
+assert SQL_ALL != SQL

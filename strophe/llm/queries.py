@@ -19,8 +19,8 @@ MODULES = {
 
 
 def queries() -> dict:
-    return {name: m.query for name, m in MODULES.items()}
+    return {name: m.query for name, m in MODULES.items()} | {"op1_line_dedup_all": line_dedup.query_all}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: m.SQL for name, m in MODULES.items() if getattr(m, "SQL", None)}
+    return {name: m.SQL for name, m in MODULES.items() if getattr(m, "SQL", None)} | {"op1_line_dedup_all": line_dedup.SQL_ALL}
