@@ -411,12 +411,21 @@ _LCS = f"""WITH RECURSIVE {_PAIRS}, r AS (
 s AS (SELECT a, b, cells[-1] AS lcs FROM r WHERE i = length(a))"""
 
 
+_ALL_PAIRS = ("x.a[1] = y.a[1]", "true")
+
+
 def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct names with the same first letter."""
+    """Distinct names with the same first letter, as the SQL has them."""
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct().withColumn("block", F.substring("a", 1, 1))
     return n.join(n.select("block", F.col("a").alias("b")), "block").select("a", "b")
 
 
+def _all_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of distinct names: those that do not match are results, too, so nothing blocks."""
+    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
+    return n.crossJoin(n.select(F.col("a").alias("b")))
+
+
 @query(f"{_LCS} SELECT a, b, CASE WHEN a = b THEN 100.0 ELSE lcs * 100.0 / greatest(length(a), length(b)) END::DOUBLE AS similarity FROM s")
 def text_similarity(spark, sf_dir):
     return _name_pairs(spark, sf_dir).select("a", "b", text.similarity(F.col("a"), F.col("b")).alias("similarity"))
@@ -431,6 +440,16 @@ def name_match(spark, sf_dir):
     return _name_pairs(spark, sf_dir).select("a", "b", match.name_match(F.col("a"), F.col("b")).alias("label"))
 
 
+@query(_SQL["text_similarity"].replace(*_ALL_PAIRS))
+def text_similarity_all(spark, sf_dir):
+    return _all_name_pairs(spark, sf_dir).select("a", "b", text.similarity(F.col("a"), F.col("b")).alias("similarity"))
+
+
+@query(_SQL["name_match"].replace(*_ALL_PAIRS))
+def name_match_all(spark, sf_dir):
+    return _all_name_pairs(spark, sf_dir).select("a", "b", match.name_match(F.col("a"), F.col("b")).alias("label"))
+
+
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(
