@@ -496,6 +496,12 @@ def track_score(spark, sf_dir):
     return found.filter("album_match = 'Perfect'").select("track_id", "id", "level", "score")
 
 
+@query()
+def track_score_all(spark, sf_dir):
+    """Every scored pair; the SQL of track_score has only those of equal album, whose score it knows."""
+    return search.search(_tracks(spark, sf_dir), _catalogue(spark, sf_dir)).select("track_id", "id", "level", "score")
+
+
 @query(f"""{_SEARCH_SQL}, o AS (SELECT track_id, id, row_number() OVER (PARTITION BY track_id ORDER BY CASE WHEN s > 21 THEN 100 WHEN s > 19 THEN 99 WHEN s > 17 THEN 95 WHEN s > 15 THEN 90 ELSE 70 END DESC, id) AS k
   FROM (SELECT *, (base + 2.8) * 30.0 / (30.0 - 0.2 * 7.0) AS s FROM m WHERE same))
 SELECT track_id, CAST(id AS VARCHAR) AS id FROM o WHERE k = 1""")

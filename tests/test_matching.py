@@ -1,4 +1,4 @@
-"""Name pairs against brute force."""
+"""Name pairs and track scores against brute force."""
 
 import pytest
 
@@ -56,3 +56,38 @@ def test_all_name_pairs(spark, parts):
     got = {(r.a, r.b): round(r.similarity, 6) for r in catalogue.queries()["text_similarity_all"](spark, where).collect()}
     assert got == {(a, b): round(share(a, b), 6) for a in NAMES for b in NAMES}
     assert got["old gizmo", "cold gizmo"] == 90
+
+
+POINTS = {"Perfect": 7, "VeryHigh": 6, "High": 5, "Medium": 4, "Low": 2, "NoMatch": 0}
+
+
+def duration(a, b):
+    bands = ((1, "Perfect"), (300, "VeryHigh"), (700, "High"), (1500, "Medium"), (3500, "Low"))
+    return next((label for bound, label in bands if abs(a - b) < bound), "NoMatch")
+
+
+def track_scores(rows):
+    """Odd keys have (feat. x) in their titles, so they are found at level 1, by title and brand, among all types."""
+    out = {}
+    for key, name, brand, kind, size in rows:
+        for other, name2, brand2, kind2, size2 in rows:
+            if (name, brand) != (name2, brand2) or key % 2 == 0 and kind != kind2:
+                continue
+            title = name + (" (feat. x)" if key % 2 else "")
+            marks = name_match(title, name2), "Perfect", duration(size * 100, size2 * 100)
+            total = sum(POINTS[m] for m in marks) + 0.4 * POINTS[name_match(kind.lower(), kind2.lower())]
+            out[key, str(other)] = (key % 2, round(total * 30 / (30 - 0.2 * 7), 6))
+    return out
+
+
+@pytest.mark.parametrize("where", ["fixture", "generated"])
+def test_all_track_scores(spark, parts, where):
+    sf_dir, rows = parts
+    if where == "generated":
+        sf_dir = "/root/testdata/sf0.001"
+        rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").collect()]
+    found = catalogue.queries()["track_score_all"](spark, sf_dir).collect()
+    got = {(r.track_id, r.id): (r.level, round(r.score, 6)) for r in found}
+    want = track_scores(rows)
+    assert len(found) == len(got) and got == want
+    assert len(want) > catalogue.queries()["track_score"](spark, sf_dir).count()
