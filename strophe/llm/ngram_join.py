@@ -16,7 +16,8 @@ connected components, not all its pairs. First each class is compared with the m
 which leaves one component of most groups of copies. In buckets that still hold several components, members are then
 compared in tiles of ``TILE`` by a parity sketch of ``SKETCH`` bits: what is left of the pairs is named, for each two
 components the nearest first, until no pair is unnamed that could still join two components, so the components are
-exact. Candidates are verified on the full shingle sets of the texts.
+exact. Candidates are verified on the full shingle sets of the texts. That is what ``dedup`` needs; ``with_links``, the
+query, names and verifies all pairs of every bucket and so has the links themselves.
 
 Nothing is collected to the driver but counts. Shingle hashes have 64 bits.
 
@@ -244,7 +245,8 @@ def classes_linked(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, te
         return _classes_linked(docs, stats, k, p, q, text)
 
 
-def _classes_linked(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, text: str) -> DataFrame:
+def _buckets(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, text: str) -> tuple[DataFrame, ...]:
+    """(key, sig, n, size, rank) of the buckets with several classes, (sig, n, text) of their classes, and what both read."""
     bucket = Window.partitionBy("key")
     found = (
         publish(docs, k, p, q, text)
@@ -264,6 +266,36 @@ def _classes_linked(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, t
     members = members.groupBy("sum", "size").agg(F.min("key").alias("key")).select("key")
     ranked = ranked.join(members, "key").withColumn("rank", F.row_number().over(bucket.orderBy(F.desc("pop"), "sig")))
     ranked = stored(ranked.select("key", "sig", "n", "size", "rank"), "ranked")
+    return ranked, texts, found, popular
+
+
+def _tile_pairs(members: DataFrame, p: int, q: int, quota: int) -> DataFrame:
+    """What ``_near`` names of the members (key, rank, sig, n, label, sketch)."""
+    spark = members.sparkSession
+    tiles = members.groupBy("key", F.floor((F.col("rank") - 1) / TILE).alias("tile")).agg(F.collect_list(F.struct("sig", "n", "label", "sketch")).alias("x"))
+    tiles = stored(tiles, "tiles")
+    other = tiles.select("key", F.col("tile").alias("tile2"), F.col("x").alias("y"))
+    both = tiles.join(other, "key").filter(F.col("tile") <= F.col("tile2")).select("x", "y", (F.col("tile") == F.col("tile2")).alias("same"))
+    with session_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "50"}):
+        near = stored(_near(both, p, q, quota), "near")
+    discard(tiles)
+    return near
+
+
+def all_links(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, text: str = "text") -> DataFrame:
+    """(a, b): every similar pair of classes, a < b. In a group of n similar classes these are n (n - 1) / 2 rows."""
+    with session_conf(docs.sparkSession, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        ranked, texts, found, popular = _buckets(docs, stats, k, p, q, text)
+        # Each class is a component of its own, so no pair is left unnamed.
+        near = _tile_pairs(ranked.join(sketches(texts, k), "sig").withColumn("label", F.col("sig")), p, q, 1)
+        links = _verified(near, texts, k, p, q)
+        discard(found, popular, texts, ranked, near)
+        return links
+
+
+def _classes_linked(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, text: str) -> DataFrame:
+    bucket = Window.partitionBy("key")
+    ranked, texts, found, popular = _buckets(docs, stats, k, p, q, text)
 
     # First round: each bucket's most connected class against all others.
     hubs = ranked.filter("rank = 1").select("key", F.col("sig").alias("a"), F.col("n").alias("na"))
@@ -277,13 +309,7 @@ def _classes_linked(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, t
     for quota in QUOTAS:
         now = more.join(label.withColumnRenamed("label", "l"), "sig", "left").withColumn("label", F.coalesce("l", "sig")).drop("l")
         now = now.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket)}).filter(F.col("lo") != F.col("hi"))
-        tiles = now.groupBy("key", F.floor((F.col("rank") - 1) / TILE).alias("tile")).agg(F.collect_list(F.struct("sig", "n", "label", "sketch")).alias("x"))
-        tiles = stored(tiles, "tiles")
-        other = tiles.select("key", F.col("tile").alias("tile2"), F.col("x").alias("y"))
-        both = tiles.join(other, "key").filter(F.col("tile") <= F.col("tile2")).select("x", "y", (F.col("tile") == F.col("tile2")).alias("same"))
-        with session_conf(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "50"}):
-            near = stored(_near(both, p, q, quota), "near")
-        discard(tiles)
+        near = _tile_pairs(now, p, q, quota)
         if near.isEmpty():
             break
         pairs = stored(near.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -301,7 +327,25 @@ def with_components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int]
     p, q = similarity
     docs = docs.withColumnRenamed(doc, "doc_id") if doc != "doc_id" else docs
     stats = stored(describe(docs, k, text), "sets")
-    label = classes_linked(docs, stats, k, p, q, text)
+    return _membership(stats, classes_linked(docs, stats, k, p, q, text)).drop("sig")
+
+
+def with_links(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """``with_components`` from all links, with ``n_links``: how many other rows each row is similar to."""
+    p, q = similarity
+    docs = docs.withColumnRenamed(doc, "doc_id") if doc != "doc_id" else docs
+    stats = stored(describe(docs, k, text), "sets")
+    links = all_links(docs, stats, k, p, q, text)
+    sizes = stats.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.count("*").alias("copies"))
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(sizes.withColumnRenamed("sig", "b"), "b").groupBy(F.col("a").alias("sig")).agg(F.sum("copies").alias("others"))
+    degree = sizes.join(others, "sig", "left").select("sig", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    rows = _membership(stats, components(links)).join(degree, "sig", "left")
+    return rows.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).drop("sig")
+
+
+def _membership(stats: DataFrame, label: DataFrame) -> DataFrame:
+    """(rid, sig, doc_id, n_shingles, component_id, keeper) for each row, from the labels of linked classes."""
     classes = stats.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
     classes = classes.join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     lowest = classes.groupBy("label").agg(F.min("first").alias("lowest"))
@@ -309,7 +353,7 @@ def with_components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int]
     linked = stats.filter(F.col("sig").isNotNull()).join(by_sig, "sig")
     alone = stats.filter(F.col("sig").isNull()).withColumn("lowest", F.struct("doc_id", "rid"))
     return linked.unionByName(alone).select(
-        "rid", "doc_id", F.col("n").alias("n_shingles"), F.col("lowest.doc_id").alias("component_id"), (F.col("lowest.rid") == F.col("rid")).alias("keeper")
+        "rid", "sig", "doc_id", F.col("n").alias("n_shingles"), F.col("lowest.doc_id").alias("component_id"), (F.col("lowest.rid") == F.col("rid")).alias("keeper")
     )
 
 
@@ -321,4 +365,4 @@ def dedup(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILAR
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return with_components(docs, 4, (85, 100)).select("doc_id", "n_shingles", "component_id")
+    return with_links(docs, 4, (85, 100)).select("doc_id", "n_shingles", "component_id", "n_links")
