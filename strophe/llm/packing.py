@@ -2,9 +2,9 @@
 
 Documents are tokenized (ids plus an end id) and cut at multiples of the sequence length; what is counted from there on
 is a histogram of piece lengths, at most one row per length however large the corpus. On the driver a linear program
-over patterns (how many pieces of which lengths share a sequence) is solved by column generation: the duals of the
-restricted master price new patterns by a knapsack dynamic program, until the Farley bound is within ``GAP``. Patterns
-are rounded down; the pieces left over are filled, largest first, by exact complements and then by a subset-sum program.
+over patterns (how many pieces of which lengths share a sequence) of the ``MASTER_ROWS`` lengths with most tokens is
+solved by column generation: the duals of the restricted master price new patterns by a knapsack dynamic program, until
+the Farley bound is within ``GAP`` or ``MAX_COLUMNS`` are made. Nearly full patterns are rounded down; the pieces left over are filled, largest first, by exact complements and then by a subset-sum program.
 
 Pieces are ranked within their length (in ``SALTS`` parts, so a length that holds a third of all pieces is spread),
 and the rank says which copy of which pattern takes the piece: sequence and offset follow by arithmetic. The pattern
