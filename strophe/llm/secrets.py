@@ -1,13 +1,16 @@
 """Secret scans with a random forest against false positives.
 
-DataFrame functions only. Candidates are runs of 16 or more token characters with a digit in them. For each one, with
+DataFrame functions only. Candidates are runs of 16 or more token characters with a digit in them (what stands before
+the = of KEY=value is no part of it), and beside the name of a credential, values of four or more characters of any
+kind; which of them are secrets is left to the forest. For each one, with
 its line, 40 characters on either side and the path of its document, features are built by expressions: length,
 character transitions (changes of class, common letter pairs, share of distinct characters and digits), dictionary
 coverage (share of characters inside common identifier words), path (test and documentation folders, a place inside a
 path or address) and neighbouring words (names of credentials, assignments and quotes, placeholders, words for hashes).
 A random forest trained from labelled findings (a table: candidate, left, right, path, label) scores them, on the JVM.
 
-Without a table of labelled findings, ``labelled_findings`` makes a balanced one by rule. Training rows are bounded by
+Without a table of labelled findings, ``labelled_findings`` makes a balanced one by rule: lines of text, of which
+``candidates`` extracts the findings as it does in a scan. Training rows are bounded by
 ``MAX_FINDINGS``; scanning and scoring see all texts. No shuffle: a document's findings are made where its text is.
 
 Defined results: null and empty texts have no candidates; a null path is no path; repeated rows report their own
@@ -31,7 +34,6 @@ TREES, DEPTH, SEED = 24, 7, 11
 THRESHOLD = 0.5
 CONTEXT = 40
 
-CANDIDATE = rf"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]*[0-9])[A-Za-z0-9_+/=.\-]{{{MIN_LENGTH},}}"
 
 # Words of identifiers, common letter pairs, names of credentials and of what only looks like one.
 DICTIONARY = (
@@ -47,7 +49,17 @@ DICTIONARY = (
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce".split()
 NAMES = "token|key|secret|passw(?:or)?d|passwd|pwd|auth|authorization|bearer|credentials?|access|api|private|signature"
 PLACEHOLDERS = "example|dummy|sample|fake|placeholder|changeme|your|xxx+|todo|redacted|test"
+#: A run of token characters, from its start or from behind a leading name and =.
+_TOKEN = r"A-Za-z0-9_+/=.\-"
+_KEY = r"[A-Za-z_.\-][A-Za-z0-9_.\-]{0,63}="
+_RUN = rf"(?:(?<![{_TOKEN}])(?!{_KEY}[^=\s\"'])|(?<==)(?<=(?<![{_TOKEN}]){_KEY}))(?=[A-Za-z_+/=.\-]*[0-9])[{_TOKEN}]{{{MIN_LENGTH},}}"
+#: A value beside the name of a credential, in quotes or not; the first look back is there for speed.
+_BESIDE = rf"(?<=(?i:{NAMES})[\"'\])]{{0,2}}\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}"
+_VALUE = rf"(?<=[:=>]\s{{0,3}}[\"'`])(?<=[\"'`]){_BESIDE}[\"'`])[^\s\"'`]{{4,}}(?=[\"'`])|(?<=[:=>]\s{{0,3}}){_BESIDE})(?<![^\s:=>])[A-Za-z0-9_+/.\-!@#$%^*~?&][A-Za-z0-9_+/=.\-!@#$%^*~?&]{{3,}}"
+CANDIDATE = rf"(?:{_VALUE}|{_RUN})"
 HASHES = "sha|sha1|sha256|md5|commit|checksum|digest|hash|integrity|uuid|guid|version|revision|rev|id|phone|card|order|etag"
+_KEYWORDS = "None null true false string undefined required optional default self.value getenv input() config.get".split()
+_WORDS = "correct horse battery staple purple monkey river cloud silver tiger garden winter copper falcon orange bridge".split()
 TEST_PATHS = r"(?:^|[/._-])(?:tests?|specs?|fixtures?|mocks?|examples?|samples?|docs?|readme|vendor|node_modules|snapshots?|lock)(?:[/._-]|$)"
 
 FEATURES = (
@@ -117,13 +129,20 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     size = (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(29)) + 20).cast("int")
     name = pick(["token", "api_key", "secret", "password", "auth", "access_key", "Bearer", "private_key", "TOKEN", "SECRET_KEY", "client_secret"], 2)
     sep = pick([" = \"", "=", ": ", ": \"", "=\"", " := '", " "], 3)
-    quote = F.when(sep.contains('"'), '"').when(sep.contains("'"), "'").otherwise("")
     code = pick(["src/app.py", "config/prod.yml", ".env", "src3", "deploy.sh", "", "web/main.js", "src0"], 4)
     kind = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(8))
     joint = pick(["_", ".", "-"], 6)
     words = F.concat(pick(DICTIONARY, 7), joint, pick(DICTIONARY, 8), joint, pick(DICTIONARY, 9), joint, F.pmod("id", F.lit(97)).cast("string"))
     digits = F.substring(F.regexp_replace(F.conv(F.substring(h, 1, 15), 16, 10), "^", "4"), 1, 16)
     prose = pick(["the and there ", "was it on ", "number ", "see ", "call ", "in ", ". "], 10)
+    # Beside names: passwords of letters, marks and digits or of several words, against keywords and identifiers.
+    letters = F.regexp_replace(b64, "[0-9]", "")
+    password = F.when(F.pmod("id", F.lit(3)) == 0, F.concat(pick(_WORDS, 14), pick(_WORDS, 15), pick(_WORDS, 16), pick(_WORDS, 17))).otherwise(
+        F.concat(F.substring(letters, 1, 3), F.substring(h, 1, 3), pick(["&", "!", "#", "_", "9", "@"], 18), F.substring(h, 5, 2), F.substring(letters, 5, 3))
+    )
+    plain = F.when(F.pmod("id", F.lit(3)) == 0, pick(_KEYWORDS, 19)).when(F.pmod("id", F.lit(3)) == 1, pick(DICTIONARY, 20)).otherwise(F.concat(pick(DICTIONARY, 21), pick(["_", ".", ""], 22), pick(DICTIONARY, 23)))
+    near_sep = pick([" = \"", "=", ": ", ": \"", "=\""], 3)
+    short = F.pmod(F.xxhash64("id", F.lit(24)), F.lit(4)) == 0
     token = F.when(F.pmod("id", F.lit(4)) < 2, F.substring(h, 1, 40)).when(F.pmod("id", F.lit(4)) == 2, F.substring(b64, 1, size)).otherwise(F.upper(F.substring(h, 1, size)))
     bad = (
         F.when(kind == 0, F.struct(F.substring(h, 1, 40).alias("candidate"), pick(["commit ", "sha1: ", "checksum = \"", "md5 ", "revision "], 11).alias("left"), code.alias("path")))
@@ -135,10 +154,17 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         .when(kind == 6, F.struct(token.alias("candidate"), F.concat(name, sep).alias("left"), pick(["tests/test_auth.py", "spec/fixtures/a.json", "examples/demo.py"], 13).alias("path")))
         .otherwise(F.struct(words.alias("candidate"), prose.alias("left"), code.alias("path")))
     )
+    near_name = pick(["password", "secret", "token", "api_key", "PASSWORD", "client_secret", "db_password"], 2)
+    bad = F.when(short, F.struct(plain.alias("candidate"), F.concat(prose, near_name, near_sep).alias("left"), code.alias("path"))).otherwise(bad)
     good = F.struct(token.alias("candidate"), F.concat(prose, name, sep).alias("left"), code.alias("path"))
-    rows = spark.range(min(n, MAX_FINDINGS), numPartitions=1).select("id", F.when(F.pmod("id", F.lit(2)) == 0, good).otherwise(bad).alias("x"), quote.alias("right"))
-    return rows.select("x.candidate", "x.left", F.concat("right", F.lit(" and then")).alias("right"), "x.path", (F.pmod("id", F.lit(2)) == 0).cast("double").alias("label"))
-
+    good = F.when(short, F.struct(password.alias("candidate"), F.concat(prose, near_name, near_sep).alias("left"), code.alias("path"))).otherwise(good)
+    quote = F.when(F.col("x.left").endswith('"'), '"').when(F.col("x.left").endswith("'"), "'").otherwise("")
+    rows = spark.range(min(n, MAX_FINDINGS), numPartitions=1).select("id", F.when(F.pmod("id", F.lit(2)) == 0, good).otherwise(bad).alias("x"))
+    line = F.concat("x.left", "x.candidate", quote, F.lit(" and then"))
+    label = F.struct((F.pmod("id", F.lit(2)) == 0).cast("double").alias("label"), F.char_length("x.left").alias("at"), F.char_length("x.candidate").alias("n"))
+    found = candidates(rows.select(label.alias("doc_id"), line.alias("text"), F.col("x.path").alias("source")))
+    planted = (F.col("start") > F.col("doc_id.at")) & (F.col("start") <= F.col("doc_id.at") + F.col("doc_id.n"))
+    return found.filter(planted).select("candidate", "left", "right", "path", "doc_id.label")
 
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:
