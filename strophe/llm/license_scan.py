@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strophe.llm.common import row_key, table
@@ -37,6 +37,7 @@ TEMPLATES = [
     ("apache-notice", "Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-header", "Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("gpl-notice", "GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl-2-notice", "GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("gpl-header", "GPL", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("lgpl-header", "LGPL", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("agpl-header", "AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
@@ -46,10 +47,17 @@ TEMPLATES = [
     ("bsd-grant", "BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("isc-grant", "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl-header", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("epl-notice", "EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("cc0-notice", "CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("zlib-grant", "Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
     ("unlicense", "Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
 
+#: Notices that differ in their version only, and what is left of the license where the version does not fit.
+VERSIONS = {"gpl-notice": "GPL", "gpl-2-notice": "GPL"}
+
+
 def templates(spark: SparkSession) -> DataFrame:
     """(template_id, license, text) of the notices above."""
     values = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in TEMPLATES)
@@ -120,5 +128,15 @@ def scan(docs: DataFrame, templates_: DataFrame, text: str = "text", doc: str =
     return best.select("rid", "doc_id", "template_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.at")).cast("long").alias("first_word"))
 
 
+def with_versions(found: DataFrame) -> DataFrame:
+    """Matches with a version in ``license`` only where it fits: of VERSIONS in one place, the one with the most shingles."""
+    family = F.expr("CASE template_id " + " ".join(f"WHEN '{t}' THEN '{f}'" for t, f in VERSIONS.items()) + " END")
+    here = Window.partitionBy("rid", "first_word", "_family")
+    rows = found.withColumn("_family", family).withColumn("_most", F.max("containment").over(here))
+    rows = rows.withColumn("_ties", F.sum((F.col("containment") == F.col("_most")).cast("int")).over(here))
+    fits = (F.col("containment") == 1) | (F.col("containment") == F.col("_most")) & (F.col("_ties") == 1)
+    return rows.withColumn("license", F.when(F.col("_family").isNull() | fits, F.col("license")).otherwise(F.col("_family"))).drop("_family", "_most", "_ties")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents", "doc_id", "text"), templates(spark)).drop("rid")
+    return with_versions(scan(table(spark, sf_dir, "documents", "doc_id", "text"), templates(spark))).drop("rid")
