@@ -13,7 +13,7 @@ Template: ``<|im_start|>role LF text <|im_end|> LF`` for each turn. Control stri
 reversibly: ``<|`` with k backslashes between becomes the same with k + 1. Roles have line feeds and backslashes
 escaped besides. The loss mask is a list of code point spans over the formatted text: the texts of the assistant.
 
-Defined results: null texts and roles are empty; a message whose parent is missing is a root; messages on or below a
+Defined results: null texts and roles are empty; rows without a tree are one tree; a message whose parent is missing is a root; messages on or below a
 cycle have no root and are left out; messages that repeat an id are ordered by role and text and hang one below the
 other; ties of score go to the longer, then to the lower leaf; empty tables give empty tables.
 """
@@ -120,7 +120,7 @@ def choose_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     return out
 
 
-_FORMATTED = "tree long, leaf long, rank int, formatted string, loss array<struct<start:int,stop:int>>"
+_FORMATTED = "tree string, leaf long, rank int, formatted string, loss array<struct<start:int,stop:int>>"
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +138,14 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
     """Formatted conversations with their loss spans. ``messages``: tree, id, parent, score, role, text."""
+    # A null tree is one, too, but would not join.
+    messages = messages.withColumn("tree", F.coalesce(F.concat(F.lit("t"), F.col("tree").cast("string")), F.lit("null")))
     path = choose_paths(messages.select("tree", "id", "parent", "score"), top)
     turns = path.join(messages.select("tree", "id", "role", "text"), ["tree", "id"])
     rows = turns.groupBy("tree", "leaf", "rank").agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")
     )
-    return rows.mapInArrow(_format, _FORMATTED)
+    return rows.mapInArrow(_format, _FORMATTED).withColumn("tree", F.when(F.col("tree") != "null", F.expr("CAST(substring(tree, 2) AS BIGINT)")))
 
 
 def conversations(table_: DataFrame) -> DataFrame:
