@@ -21,9 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only in local mode, where one machine is all there is,
+    an unset folder is replaced by one of our own; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/strophe-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -33,26 +37,49 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/strophe/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
+def stored(df: DataFrame, label: str, path: str | None = None, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (in folders by the values of ``by``) and read it back: lineage ends there, and
+    lost executors cost nothing."""
     spark = df.sparkSession
     path = path or new_path(spark, label)
     with session_conf(spark, {_CLEANUP: "true"}):
-        df.write.mode("overwrite").parquet(path)
+        (df.write.partitionBy(by) if by else df.write).mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strophe_path = path  # for discard()
+    for made in _SCRATCH:
+        made.append(path)
     return out
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete what was stored inside, but for the paths taken out of the list it gives."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH[:] = [x for x in _SCRATCH if x is not made]
+        for path in made:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*frames_or_paths) -> None:
     """Delete stored tables that nothing reads any more."""
     for x in frames_or_paths:
         path = x if isinstance(x, str) else getattr(x, "_strophe_path", None)
         spark = SparkSession.getActiveSession() if isinstance(x, str) else x.sparkSession
         if path and spark:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(spark, path)
 
 
 @contextmanager
@@ -78,6 +105,12 @@ def ascii_lower(c: Column) -> Column:
     )
 
 
-def row_key() -> Column:
-    """A key of a scanned row that is the same on a retry: file splits are dealt out the same way again."""
+def content_key(*cols: Column) -> Column:
+    """128 bits of the values in these columns. Rows of different scans are joined by it, never by their place in a scan,
+    which changes with the number of cores; rows that are equal in all these columns have one key."""
+    return F.unhex(F.md5(F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("\u0002")) for c in cols])))
+
+
+def plan_row() -> Column:
+    """A number for each row of one scan, for one write or one branch of a plan: never joined with another scan's."""
     return F.monotonically_increasing_id()

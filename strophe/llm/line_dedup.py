@@ -10,7 +10,8 @@ A line is what stands between line feeds, compared without the white space at it
 is not blank is counted. ``min_words`` leaves shorter lines out; only op1_line_dedup, whose SQL has such a bar, sets it.
 
 Defined results: a null text stays null and has no lines; an empty text has one empty line, which stays; a null site
-counts as one site of its own; repeated rows of one doc_id and text are told apart by their place in the scan.
+counts as one site of its own; rows equal in doc_id, site and text are one document read several times and are cut
+alike, so a first occurrence stays in each of them; rows that share a doc_id only are told apart by their content.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import row_key, stored, table
+from strophe.llm.common import content_key, discard, stored, table
 
 MIN_SITES = 5
 #: The bar of op1_line_dedup and its SQL.
@@ -33,11 +34,11 @@ _EDGE = r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$"
 _WORDS = r"^(?:[^\x09-\x0D\x20]+[\x09-\x0D\x20]+){%d}[^\x09-\x0D\x20]"
 
 
-def _lines(docs: DataFrame, site: str, text: str, min_words: int) -> DataFrame:
+def _lines(base: DataFrame, min_words: int) -> DataFrame:
     """Hashes of the lines that may be boilerplate, with their place."""
     line = F.regexp_replace(F.col("l"), _EDGE, "")
     return (
-        docs.select("rid", F.coalesce(F.col(site).cast("string"), F.lit("\u0000")).alias("site"), F.col("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "l"))
+        base.select("rid", F.coalesce(F.col("site").cast("string"), F.lit("\u0000")).alias("site"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "l"))
         .select("rid", "site", "doc_id", "line_no", line.alias("l"))
         .filter(F.col("l").rlike(_WORDS % (min_words - 1)))
         .select("rid", "site", "doc_id", "line_no", F.xxhash64("l").alias("h1"), F.xxhash64(F.lit(7), F.col("l")).alias("h2"))
@@ -60,32 +61,42 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
         .agg(F.countDistinct("site").alias("sites"))
         .filter(F.col("sites") >= min_sites)
     )
-    return sure.select("h1", "h2", "first").unionByName(unsure.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
+    found = stored(sure.select("h1", "h2", "first").unionByName(unsure.join(exact, ["h1", "h2"]).select("h1", "h2", "first")), "line-bad")
+    discard(spread)
+    return found
 
 
-def dedup(docs: DataFrame, site: str = "source", text: str = "text", doc: str = "doc_id", min_sites: int = MIN_SITES, min_words: int = 1, out: str = "clean") -> DataFrame:
-    """``docs`` with ``clean`` (the text without removed lines), ``n_lines`` and ``n_removed``.
+def cut(docs: DataFrame, site: str = "source", text: str = "text", doc: str = "doc_id", min_sites: int = MIN_SITES, min_words: int = 1) -> DataFrame:
+    """(row, clean, n_lines, n_removed): each row of ``docs`` as a struct, its text without removed lines, and counts.
 
     The order of what stays is kept. A document whose lines all go ends with an empty text.
     """
-    keep = [c for c in docs.columns]
-    base = docs.select(row_key().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{site}`").alias("site"))
-    lines = _lines(base, "site", "text", min_words)
+    key = content_key(*[F.col(f"`{c}`") for c in (doc, site, text)])
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{site}`").alias("site"), key.alias("rid"))
+    # Lines are split and hashed once; what follows reads the stored hashes.
+    lines = stored(_lines(base, min_words), "line-hashes")
     bad = boilerplate(lines, min_sites)
     first = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.rid") == F.col("rid")) & (F.col("first.line_no") == F.col("line_no"))
     gone = lines.join(bad.hint("merge"), ["h1", "h2"]).filter(~first).groupBy("rid").agg(F.collect_set("line_no").alias("gone"))
     gone = stored(gone, "line-gone")
+    discard(lines, bad)
     # Both tables grow with the corpus: they are merged at every size, never broadcast.
-    split = F.split(F.col("text"), "\n", -1)
-    cut = F.array_join(F.expr("filter(split(text, '\\n', -1), (l, k) -> NOT array_contains(gone, k))"), "\n")
+    rest = F.array_join(F.expr("filter(split(text, '\\n', -1), (l, k) -> NOT array_contains(gone, k))"), "\n")
     return base.join(gone.hint("merge"), "rid", "left").select(
-        "row.*",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(cut).alias(out),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        "row",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("clean"),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
+def dedup(docs: DataFrame, site: str = "source", text: str = "text", doc: str = "doc_id", min_sites: int = MIN_SITES, min_words: int = 1, out: str = "clean") -> DataFrame:
+    """``docs`` with ``clean`` (the text without removed lines), ``n_lines`` and ``n_removed``, in place of columns of
+    those names."""
+    own = [c for c in docs.columns if c not in (out, "n_lines", "n_removed")]
+    return cut(docs, site, text, doc, min_sites, min_words).select(*[F.col(f"row.`{c}`") for c in own], F.col("clean").alias(out), "n_lines", "n_removed")
+
+
 def query(spark, sf_dir: str, min_words: int = MIN_WORDS) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return dedup(docs, min_words=min_words).select("doc_id", "n_lines", "n_removed", _sha(F.col("clean")).alias("clean_sha256"), F.char_length("clean").cast("long").alias("clean_chars"))
@@ -101,17 +112,19 @@ def _sha(c: Column) -> Column:
 
 
 SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, text,
+         md5(concat_ws(chr(1), coalesce(CAST(doc_id AS VARCHAR), chr(2)), coalesce(source, chr(2)), coalesce(text, chr(2)))) AS key FROM documents),
 l AS (
-  SELECT rid, doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS line,
+  SELECT rid, key, doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS line,
          unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM d),
-t AS (SELECT rid, doc_id, site, line_no, line, regexp_replace(line, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS k FROM l),
+t AS (SELECT rid, key, doc_id, site, line_no, line, regexp_replace(line, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS k FROM l),
 b AS (
-  SELECT k, min(struct_pack(doc_id := doc_id, rid := rid, line_no := line_no)) AS first FROM t
+  SELECT k, min(struct_pack(doc_id := doc_id, key := key, line_no := line_no)) AS first FROM t
   WHERE regexp_matches(k, '^(?:[^\x09-\x0D\x20]+[\x09-\x0D\x20]+){{{MIN_WORDS - 1}}}[^\x09-\x0D\x20]')
   GROUP BY k HAVING count(DISTINCT site) >= {MIN_SITES}),
 x AS (
-  SELECT t.rid, t.line_no, line, b.k IS NOT NULL AND NOT (b.first.doc_id = t.doc_id AND b.first.rid = t.rid AND b.first.line_no = t.line_no) AS gone
+  SELECT t.rid, t.line_no, line, b.k IS NOT NULL AND NOT (b.first.doc_id = t.doc_id AND b.first.key = t.key AND b.first.line_no = t.line_no) AS gone
   FROM t LEFT JOIN b ON b.k = t.k),
 c AS (
   SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
