@@ -24,12 +24,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs, out="_clean")
-    emptied = (F.col("n_removed") > 0) & (F.trim("_clean") == "")
-    kind = docs.schema["n_chars"].dataType
-    kept = out.filter(~F.coalesce(emptied, F.lit(False)))
     changed = F.col("n_removed") > 0
-    return kept.withColumns({"text": F.col("_clean"), "n_chars": F.when(changed, F.char_length("_clean").cast(kind)).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    kept = line_dedup.cut(docs).filter(~F.coalesce(changed & (F.trim("clean") == ""), F.lit(False)))
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.char_length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return kept.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{str(sf_dir).rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scratch(spark) as made:  # a stage's tables go when its result is there, and so does the stage before
+            out = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            made.remove(out._strophe_path)
+        common.discard(docs)
+        docs = out
     return docs
