@@ -16,13 +16,17 @@ connected components, not all its pairs. First each class is compared with the m
 which leaves one component of most groups of copies. In buckets that still hold several components, members are then
 compared in tiles of ``TILE`` by a parity sketch of ``SKETCH`` bits: what is left of the pairs is named, for each two
 components the nearest first, until no pair is unnamed that could still join two components, so the components are
-exact. Candidates are verified on the full shingle sets of the texts. That is what ``dedup`` needs; ``with_links``, the
-query, names and verifies all pairs of every bucket and so has the links themselves.
+exact. Candidates are verified on the full shingle sets of the texts. That is what ``dedup`` needs. ``with_links``, the
+query, besides counts every link: links lie inside components, so the classes of each component are compared once, in
+blocks of two tiles whose sets are at hand, by parity sketch first and then exactly. A block gives one number for each
+of its classes, so rows grow with the classes and not with their pairs (``links`` gives the pairs themselves).
 
-Nothing is collected to the driver but counts. Shingle hashes have 64 bits.
+Nothing is collected to the driver but counts. Shingle hashes have 64 bits. Rows are known by a hash of doc_id and text,
+never by their place in a scan.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; with fewer than k words the
-whole sequence is the one shingle; repeated rows link as copies; extra columns stay with their rows.
+whole sequence is the one shingle; repeated rows link as copies; extra columns stay with their rows. ``dedup`` keeps one
+of several rows that are equal in doc_id and text (any of them where further columns differ).
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import discard, row_key, session_conf, stored, table
+from strophe.llm.common import content_key, discard, session_conf, stored, table
 from strophe.llm.components import components
 from strophe.llm.wordhash import mix, shingle_sets
 
@@ -48,8 +52,11 @@ SEEN = 500_000
 SLICE = 500
 #: Parity bits compared before texts are.
 SKETCH = 1024
-#: Classes of a bucket that are compared as one block with another such block.
+#: Classes of a bucket or component that are compared as one block with another such block.
 TILE = 256
+#: Shingles of a tile when links are counted, about, and pairs of a block that are verified one by one.
+TILE_SHINGLES = 1 << 16
+FEW = 2000
 #: Pairs of two components a block may name in each round; the last is all of them.
 QUOTAS = (1, 64, TILE * TILE)
 
@@ -107,6 +114,10 @@ def block_keys(u: np.ndarray, sizes: dict[int, list], p: int, q: int) -> np.ndar
     return np.concatenate(out) if out else codes[:0]
 
 
+def _rid(docs: DataFrame, text: str, doc: str = "doc_id"):
+    return content_key(docs[f"`{doc}`"], docs[f"`{text}`"]).alias("rid")
+
+
 def describe(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
     """(rid, doc_id, n, sig) for each row; sig is null for the empty set."""
 
@@ -119,9 +130,9 @@ def describe(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
                 n = pa.array([len(u) for u in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), n, sig], ["rid", "doc_id", "n", "sig"])
 
-    rows = docs.select(row_key().alias("rid"), "doc_id", F.col(text).alias("text"))
+    rows = docs.select(_rid(docs, text), "doc_id", F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"rid long, doc_id {kind}, n long, sig long")
+    return rows.mapInArrow(run, f"rid binary, doc_id {kind}, n long, sig long")
 
 
 def publish(docs: DataFrame, k: int, p: int, q: int, text: str = "text") -> DataFrame:
@@ -177,8 +188,8 @@ def verify(pairs: DataFrame, k: int, p: int, q: int) -> DataFrame:
 
 def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """(sig, n, text) of the classes that share a block with another, from one row of each. ``wanted``: sig, n, rid."""
-    rows = docs.select(row_key().alias("rid"), F.col(text).alias("text"))
-    return rows.join(wanted, "rid").select("sig", "n", "text")
+    rows = docs.select(_rid(docs, text), F.col(text).alias("text"))
+    return rows.join(wanted, "rid").groupBy("rid", "sig", "n").agg(F.first("text").alias("text")).drop("rid")
 
 
 def sketches(texts: DataFrame, k: int) -> DataFrame:
@@ -196,7 +207,7 @@ def sketches(texts: DataFrame, k: int) -> DataFrame:
 
 
 def _near(tiles: DataFrame, p: int, q: int, quota: int) -> DataFrame:
-    """Pairs (a, b) across two tiles of a bucket that may be similar by size and by the Hamming distance of their
+    """Pairs (a, b) across two tiles of a bucket (``y`` is null: within one) that may be similar by size and by the Hamming distance of their
     sketches and lie in different components: of each two components the ``quota`` nearest."""
 
     def tile(rows: list[dict]) -> tuple[np.ndarray, ...]:
@@ -209,9 +220,13 @@ def _near(tiles: DataFrame, p: int, q: int, quota: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 sa, na, la, xa = tile(batch.column("x")[i].as_py())
-                sb, nb, lb, xb = tile(batch.column("y")[i].as_py())
+                y, same = batch.column("y")[i].as_py(), False
+                if y is None:
+                    sb, nb, lb, xb, same = sa, na, la, xa, True
+                else:
+                    sb, nb, lb, xb = tile(y)
                 ok = (la[:, None] != lb) & (q * np.minimum(na[:, None], nb) >= p * np.maximum(na[:, None], nb))
-                if batch.column("same")[i].as_py():
+                if same:
                     ok &= sa[:, None] < sb
                 ia, ib = np.nonzero(ok)
                 away = np.zeros(len(ia), np.int64)
@@ -238,15 +253,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, p: int, q: int) -> Dat
     return stored(verify(pairs.join(ta, "a").join(tb, "b"), k, p, q), "links")
 
 
-def classes_linked(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, text: str = "text") -> DataFrame:
-    """(sig, label): the component of every class that links with another; the label is one of its signatures."""
-    # Tables here grow with the corpus: they are merged at every size, never broadcast.
-    with session_conf(docs.sparkSession, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
-        return _classes_linked(docs, stats, k, p, q, text)
+def _blocks(members: DataFrame, group: str, member) -> DataFrame:
+    """(x, y) for each two tiles of each group, y null for a tile with itself. ``members``: group, sig, tiles (how many
+    tiles the group has). Groups of one tile, nearly all, are not dealt out again; the pairs of others are spread."""
+    tiles = members.groupBy(group, "tiles", F.pmod(F.xxhash64("sig"), F.col("tiles")).alias("tile")).agg(F.collect_list(member).alias("x"))
+    tiles = stored(tiles, "tiles")
+    none = F.lit(None).cast(tiles.schema["x"].dataType)
+    one = tiles.filter("tiles = 1").select("x", none.alias("y"))
+    each = tiles.filter("tiles > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    sides = each.groupBy(group, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).agg(
+        F.first(F.when(F.col("tile") <= F.col("other"), F.col("x")), True).alias("x"), F.first(F.when(F.col("tile") > F.col("other"), F.col("x")), True).alias("y")
+    )
+    # A tile may be empty; its pairs with others then have one side.
+    return one.unionByName(sides.filter((F.col("x").isNotNull()) & ((F.col("i") == F.col("j")) | F.col("y").isNotNull())).select("x", "y"))
+
 
+def _tile_pairs(members: DataFrame, p: int, q: int, quota: int) -> DataFrame:
+    """What ``_near`` names of the members (key, size, sig, n, label, sketch)."""
+    members = members.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("long"))
+    with session_conf(members.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "50"}):
+        return stored(_near(_blocks(members, "key", F.struct("sig", "n", "label", "sketch")), p, q, quota), "near")
 
-def _buckets(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, text: str) -> tuple[DataFrame, ...]:
-    """(key, sig, n, size, rank) of the buckets with several classes, (sig, n, text) of their classes, and what both read."""
+
+def _classes_linked(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """(sig, label) of every class that links with another, and (sig, n, text) of the classes compared."""
     bucket = Window.partitionBy("key")
     found = (
         publish(docs, k, p, q, text)
@@ -256,111 +286,199 @@ def _buckets(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, text: st
         .distinct()
     )
     found = stored(found, "buckets")
-    sized = found.withColumn("size", F.count("*").over(bucket))
+    sizes = stored(found.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("sum")), "sizes")
     one = stats.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("rid").alias("rid"), F.first("n").alias("n"))
-    popular = stored(sized.groupBy("sig").agg(F.sum("size").alias("pop")).join(one, "sig"), "popular")
+    popular = stored(found.join(sizes.select("key", "size"), "key").groupBy("sig").agg(F.sum("size").alias("pop")).join(one, "sig"), "popular")
     texts = stored(_texts(docs, popular.select("sig", "n", "rid"), text), "class-texts")
-    ranked = sized.join(popular.select("sig", "n", "pop"), "sig")
     # Buckets of the same members are one: the rest of them adds no pair.
-    members = ranked.groupBy("key").agg(F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("sum"), F.max("size").alias("size"))
-    members = members.groupBy("sum", "size").agg(F.min("key").alias("key")).select("key")
-    ranked = ranked.join(members, "key").withColumn("rank", F.row_number().over(bucket.orderBy(F.desc("pop"), "sig")))
-    ranked = stored(ranked.select("key", "sig", "n", "size", "rank"), "ranked")
-    return ranked, texts, found, popular
-
-
-def _tile_pairs(members: DataFrame, p: int, q: int, quota: int) -> DataFrame:
-    """What ``_near`` names of the members (key, rank, sig, n, label, sketch)."""
-    spark = members.sparkSession
-    tiles = members.groupBy("key", F.floor((F.col("rank") - 1) / TILE).alias("tile")).agg(F.collect_list(F.struct("sig", "n", "label", "sketch")).alias("x"))
-    tiles = stored(tiles, "tiles")
-    other = tiles.select("key", F.col("tile").alias("tile2"), F.col("x").alias("y"))
-    both = tiles.join(other, "key").filter(F.col("tile") <= F.col("tile2")).select("x", "y", (F.col("tile") == F.col("tile2")).alias("same"))
-    with session_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "50"}):
-        near = stored(_near(both, p, q, quota), "near")
-    discard(tiles)
-    return near
-
-
-def all_links(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, text: str = "text") -> DataFrame:
-    """(a, b): every similar pair of classes, a < b. In a group of n similar classes these are n (n - 1) / 2 rows."""
-    with session_conf(docs.sparkSession, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
-        ranked, texts, found, popular = _buckets(docs, stats, k, p, q, text)
-        # Each class is a component of its own, so no pair is left unnamed.
-        near = _tile_pairs(ranked.join(sketches(texts, k), "sig").withColumn("label", F.col("sig")), p, q, 1)
-        links = _verified(near, texts, k, p, q)
-        discard(found, popular, texts, ranked, near)
-        return links
-
-
-def _classes_linked(docs: DataFrame, stats: DataFrame, k: int, p: int, q: int, text: str) -> DataFrame:
-    bucket = Window.partitionBy("key")
-    ranked, texts, found, popular = _buckets(docs, stats, k, p, q, text)
+    kept = stored(sizes.groupBy("sum", "size").agg(F.min("key").alias("key")).select("key", "size"), "kept")
+    ranked = stored(found.join(kept, "key").join(popular.select("sig", "n", "pop"), "sig").select("key", "sig", "n", "size", "pop"), "ranked")
+    discard(found, sizes, kept, popular)
 
     # First round: each bucket's most connected class against all others.
-    hubs = ranked.filter("rank = 1").select("key", F.col("sig").alias("a"), F.col("n").alias("na"))
-    pairs = ranked.filter("rank > 1").join(hubs, "key").filter(q * F.least("n", "na") >= p * F.greatest("n", "na"))
+    hubs = stored(ranked.groupBy("key").agg(F.max(F.struct("pop", "sig", "n")).alias("hub")).select("key", F.col("hub.sig").alias("a"), F.col("hub.n").alias("na")), "hubs")
+    pairs = ranked.join(hubs, "key").filter(F.col("a") != F.col("sig")).filter(q * F.least("n", "na") >= p * F.greatest("n", "na"))
     tested = stored(pairs.select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct(), "pairs")
     links = _verified(tested, texts, k, p, q)
     label = components(links)
 
     # Further rounds: in the buckets that still hold several components, pairs of members by their sketches.
     more = stored(ranked.filter("size > 2").join(sketches(texts, k), "sig"), "sketched")
+    discard(hubs, ranked)
     for quota in QUOTAS:
         now = more.join(label.withColumnRenamed("label", "l"), "sig", "left").withColumn("label", F.coalesce("l", "sig")).drop("l")
-        now = now.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket)}).filter(F.col("lo") != F.col("hi"))
-        near = _tile_pairs(now, p, q, quota)
+        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi"))
+        mixed = stored(mixed.select("key"), "mixed")
+        near = _tile_pairs(now.join(mixed, "key", "left_semi"), p, q, quota)
         if near.isEmpty():
             break
         pairs = stored(near.join(tested, ["a", "b"], "left_anti"), "pairs")
+        discard(near, mixed)
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
         links = links.unionByName(_verified(pairs, texts, k, p, q))
         label = components(links)
-    discard(found, popular, texts, ranked, more)
-    return label
+    discard(more)
+    return label, texts
+
+
+# --- links ---------------------------------------------------------------------------------------------------------
+
+
+def _incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    for i, u in enumerate(sets):
+        at = np.searchsorted(columns, u)
+        at[at == len(columns)] = 0
+        out[i, at[columns[at] == u]] = 1
+    return out
+
+
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of SKETCH parity bits, as 1 and -1, for each set."""
+    bits = [np.bincount((mix(u) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1 for u in sets]
+    return (1 - 2 * np.array(bits, np.int8)).astype(np.float32)
+
+
+def similar(x: list[np.ndarray], y: list[np.ndarray] | None, p: int, q: int) -> np.ndarray:
+    """Which sets of ``x`` and ``y`` (null: of x above its diagonal) have a similarity of p / q or more."""
+    own = y is None
+    y = x if own else y
+    a, b = np.array([len(u) for u in x]), np.array([len(u) for u in y])
+    ok = q * np.minimum(a[:, None], b) >= p * np.maximum(a[:, None], b)
+    if own:
+        ok &= np.triu(np.ones_like(ok), 1)
+    if ok.sum() > 8:
+        px = _parities(x)
+        away = (SKETCH - px @ (px if own else _parities(y)).T) / 2
+        ok &= away <= (q - p) * (a[:, None] + b) // (q + p)
+    if ok.sum() <= FEW:
+        for i, j in zip(*np.nonzero(ok), strict=True):
+            both = len(np.intersect1d(x[i], y[j], assume_unique=True))
+            ok[i, j] = q * both >= p * (a[i] + b[j] - both)
+        return ok
+    values, seen = np.unique(np.concatenate(x), return_counts=True)
+    values = values[seen > 1] if own else np.intersect1d(values, np.unique(np.concatenate(y)), assume_unique=True)
+    both = np.zeros(ok.shape, np.float32)
+    for at in range(0, len(values), 4096):
+        part = values[at : at + 4096]
+        m = _incidence(x, part)
+        both += m @ (m if own else _incidence(y, part)).T
+    both = both.astype(np.int64)
+    return ok & (q * both >= p * (a[:, None] + b - both))
+
+
+def _compared(label: DataFrame, texts: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """Blocks of two tiles of the classes (sig, copies, u: the bytes of its set) of each component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets = pa.array([u.tobytes() for u in shingle_sets(part.column("text"), k)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "sig", "copies", "tiles")), sets], ["label", "sig", "copies", "tiles", "u"])
+
+    copies = stats.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
+    members = stored(label.join(copies, "sig"), "members")
+    tiles = F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE)).cast("long")
+    sized = stored(members.groupBy("label").agg(tiles.alias("tiles")), "component-sizes")
+    rows = members.join(sized, "label").join(texts.select("sig", "text"), "sig").select("label", "sig", "copies", "tiles", "text")
+    return _blocks(rows.mapInArrow(run, "label long, sig long, copies long, tiles long, u binary"), "label", F.struct("sig", "copies", "u"))
+
+
+def _over_blocks(blocks: DataFrame, p: int, q: int, pairs: bool) -> DataFrame:
+    """(a, b): the links of the blocks; or (sig, others): of each class, the rows of its partners in a block."""
+    names = ["a", "b"] if pairs else ["sig", "others"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = batch.column("x")[i].as_py(), batch.column("y")[i].as_py()
+                sides = [x] if y is None else [x, y]
+                sets = [[np.frombuffer(r["u"], np.uint64) for r in s] for s in sides]
+                ok = similar(sets[0], None if y is None else sets[1], p, q)
+                sig = [np.array([r["sig"] for r in s], np.int64) for s in sides]
+                copies = [np.array([r["copies"] for r in s], np.int64) for s in sides]
+                if pairs:
+                    ia, ib = np.nonzero(ok)
+                    a, b = sig[0][ia], sig[-1][ib]
+                    out = np.minimum(a, b), np.maximum(a, b)
+                elif y is None:
+                    out = sig[0], ok @ copies[0] + ok.T @ copies[0]
+                else:
+                    out = np.concatenate(sig), np.concatenate((ok @ copies[1], ok.T @ copies[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in out], names)
+
+    with session_conf(blocks.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
+        return stored(blocks.mapInArrow(run, ", ".join(f"{n} long" for n in names)), "links" if pairs else "degrees")
+
+
+#: Tables here grow with the corpus: they are merged at every size, never broadcast.
+_MERGED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
+
+def _prepared(docs: DataFrame, k: int, text: str, doc: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) and its ``describe``."""
+    docs = docs.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return docs, stored(describe(docs, k), "sets")
+
+
+def links(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(a, b): every similar pair of classes, a < b; and (doc_id, sig): the class of each row with words.
+
+    In a group of n similar classes these are n (n - 1) / 2 rows."""
+    p, q = similarity
+    docs, stats = _prepared(docs, k, text, doc)
+    with session_conf(docs.sparkSession, _MERGED):
+        label, texts = _classes_linked(docs, stats, k, p, q, "text")
+        found = _over_blocks(_compared(label, texts, stats, k), p, q, True)
+    return found, stats.filter(F.col("sig").isNotNull()).select("doc_id", "sig")
 
 
 def with_components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """(rid, doc_id, n_shingles, component_id, keeper) for each row: keeper is one row of each component."""
+    """(rid, doc_id, n_shingles, component_id, keeper) for each row: the row (or the equal rows) a component keeps."""
     p, q = similarity
-    docs = docs.withColumnRenamed(doc, "doc_id") if doc != "doc_id" else docs
-    stats = stored(describe(docs, k, text), "sets")
-    return _membership(stats, classes_linked(docs, stats, k, p, q, text)).drop("sig")
+    docs, stats = _prepared(docs, k, text, doc)
+    with session_conf(docs.sparkSession, _MERGED):
+        label, texts = _classes_linked(docs, stats, k, p, q, "text")
+    discard(texts)
+    return _membership(stats, label, None).drop("n_links")
 
 
 def with_links(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """``with_components`` from all links, with ``n_links``: how many other rows each row is similar to."""
+    """``with_components`` and ``n_links``: how many other rows each row is similar to, all of them counted."""
     p, q = similarity
-    docs = docs.withColumnRenamed(doc, "doc_id") if doc != "doc_id" else docs
-    stats = stored(describe(docs, k, text), "sets")
-    links = all_links(docs, stats, k, p, q, text)
-    sizes = stats.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.count("*").alias("copies"))
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ends.join(sizes.withColumnRenamed("sig", "b"), "b").groupBy(F.col("a").alias("sig")).agg(F.sum("copies").alias("others"))
-    degree = sizes.join(others, "sig", "left").select("sig", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    rows = _membership(stats, components(links)).join(degree, "sig", "left")
-    return rows.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).drop("sig")
-
-
-def _membership(stats: DataFrame, label: DataFrame) -> DataFrame:
-    """(rid, sig, doc_id, n_shingles, component_id, keeper) for each row, from the labels of linked classes."""
-    classes = stats.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
+    docs, stats = _prepared(docs, k, text, doc)
+    with session_conf(docs.sparkSession, _MERGED):
+        label, texts = _classes_linked(docs, stats, k, p, q, "text")
+        others = _over_blocks(_compared(label, texts, stats, k), p, q, False).groupBy("sig").agg(F.sum("others").alias("others"))
+    discard(texts)
+    return _membership(stats, label, others)
+
+
+def _membership(stats: DataFrame, label: DataFrame, others: DataFrame | None) -> DataFrame:
+    """(rid, doc_id, n_shingles, component_id, keeper, n_links) for each row, from the labels of linked classes."""
+    classes = stats.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count("*").alias("copies"))
     classes = classes.join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    if others is not None:
+        classes = classes.join(others, "sig", "left")
+    n_links = F.col("copies") - 1 + (F.coalesce("others", F.lit(0)) if others is not None else 0)
     lowest = classes.groupBy("label").agg(F.min("first").alias("lowest"))
-    by_sig = classes.join(lowest, "label").select("sig", "lowest")
+    by_sig = classes.join(lowest, "label").select("sig", "lowest", n_links.cast("long").alias("n_links"))
     linked = stats.filter(F.col("sig").isNotNull()).join(by_sig, "sig")
-    alone = stats.filter(F.col("sig").isNull()).withColumn("lowest", F.struct("doc_id", "rid"))
+    alone = stats.filter(F.col("sig").isNull()).withColumns({"lowest": F.struct("doc_id", "rid"), "n_links": F.lit(0).cast("long")})
     return linked.unionByName(alone).select(
-        "rid", "sig", "doc_id", F.col("n").alias("n_shingles"), F.col("lowest.doc_id").alias("component_id"), (F.col("lowest.rid") == F.col("rid")).alias("keeper")
+        "rid", "doc_id", F.col("n").alias("n_shingles"), F.col("lowest.doc_id").alias("component_id"), (F.col("lowest.rid") == F.col("rid")).alias("keeper"), "n_links"
     )
 
 
-def dedup(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """One row of each component, unchanged (that of the lowest doc_id); rows without words all stay."""
-    found = with_components(docs, k, similarity, text).filter("keeper").select(F.col("rid").alias("_rid"))
-    return docs.withColumn("_rid", row_key()).join(found, "_rid", "left_semi").drop("_rid")
+    found = with_components(docs, k, similarity, text, doc).filter(F.col("keeper") & (F.col("n_shingles") > 0)).select("rid").distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _rid(docs, text, doc), F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]").alias("has_words"))
+    once = whole.filter("has_words").join(found, "rid", "left_semi").groupBy("rid").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(whole.filter(~F.coalesce("has_words", F.lit(False))).select("row")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
