@@ -2,13 +2,16 @@
 
 A payload (bytes) is stored losslessly as 8-bit mono PCM in a WAV container. The container's bytes are cut by a rolling
 gear hash (a cut where the hash of the last 32 bytes has ``MASK`` zero; at least ``MIN_CHUNK``, at most ``MAX_CHUNK``
-bytes a chunk), so shared passages give equal chunks wherever they stand. The table of chunks is deduplicated by
-digest: of equal chunks only the first occurrence keeps its (compressed) bytes, and the ordered chunk list of each
-document is the rows that bear its key. Reading back joins the lists of shared chunks with their bytes, puts each
-document's chunks in order, checks every chunk's digest and the whole's length, and takes features of the samples.
+bytes a chunk), so shared passages give equal chunks wherever they stand. Texts are cut
+once, into a list of chunks a document that is written with a row number of its own, so nothing later depends on where
+a row stands in a scan. The table of chunks is then deduplicated by digest: first occurrences are found by an
+aggregation without the bytes (a digest that a third of all rows share is one row a task), and only they keep their
+(compressed) bytes; the ordered chunk list of each document is the rows that bear its number. Reading back joins the
+lists of shared chunks with their bytes, puts each document's chunks in order, checks every chunk's digest and the
+whole's length, and takes features of the samples.
 
 Bytes move once to be deduplicated and once to be put together, in ``ROUNDS`` slices by digest and by document, so the
-shuffle holds a slice of the corpus at a time; each task first drops the bytes of chunks it has seen in its batch, so a
+shuffle holds a slice of the corpus at a time (what was cut is deleted slice by slice as the store grows); each task first drops the bytes of chunks it has seen in its batch, so a
 chunk that a third of all rows share weighs nothing. Only the chunks of one document meet in one row.
 
 Defined results: a null text is an empty payload; an empty payload is all padding; repeated rows are stored as shared
@@ -26,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import discard, new_path, row_key, stored, table
+from strophe.llm.common import delete, discard, new_path, plan_row, stored, table
 
 UNIT = 576
 FILL = 255
@@ -38,7 +41,7 @@ MIN_CHUNK, MAX_CHUNK = 1 << 10, 1 << 14
 #: A cut every 4096 bytes on average, after the least size.
 MASK = np.uint32(((1 << 12) - 1) << 20)
 WINDOW = 32
-ROUNDS = 2
+ROUNDS = 4
 
 
 def payload(text: str | None) -> bytes:
@@ -123,12 +126,9 @@ def _batches(col: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, list[str
         at = to
 
 
-def chunks(docs: DataFrame, part: int, parts: int, text: str = "text") -> DataFrame:
-    """(rid, doc_id, n_bytes, ord, size, digest, data) of the chunks whose digest falls in this part.
-
-    ``data`` is null for repetitions within a batch.
-    """
-    rows = docs.select(row_key().alias("rid"), "doc_id", F.col(text).alias("text"))
+def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(rid, doc_id, n_bytes, ord, size, digest, data) of all chunks; ``data`` is null for repetitions within a batch."""
+    rows = docs.select(plan_row().alias("rid"), "doc_id", F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +143,6 @@ def chunks(docs: DataFrame, part: int, parts: int, text: str = "text") -> DataFr
                         piece = x[a:b]
                         a = b
                         digest = hashlib.sha256(piece).digest()[:20]
-                        if digest[0] % parts != part:
-                            continue
                         row.append(at + i)
                         n_bytes.append(n)
                         order.append(k)
@@ -161,20 +159,26 @@ def chunks(docs: DataFrame, part: int, parts: int, text: str = "text") -> DataFr
     return rows.mapInArrow(run, f"rid long, doc_id {kind}, n_bytes long, ord int, size int, digest binary, data binary")
 
 
-def store(docs: DataFrame, path: str, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def store(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Write the deduplicated chunk table of all documents and return it.
 
     A row for each chunk of each document; ``data`` stands in one row of each digest, ``shared`` says there are more.
     """
-    same = Window.partitionBy("digest")
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "chunks")
+    found = stored(chunks(docs, text).withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(rounds)).cast("int")), "cut", by="part")
     for part in range(rounds):
-        found = chunks(docs, part, rounds, text)
-        ranked = found.withColumns(
-            {"nth": F.row_number().over(same.orderBy(F.col("data").isNull(), "rid", "ord")), "shared": F.min("rid").over(same) != F.max("rid").over(same)}
-        )
-        ranked = ranked.withColumn("shared", F.col("shared") | (F.max("ord").over(same) != F.min("ord").over(same)))
-        stored(ranked.withColumn("data", F.when(F.col("nth") == 1, F.col("data"))).drop("nth"), "chunks", f"{path}/part={part}")
-    return docs.sparkSession.read.parquet(path)
+        rows = spark.read.schema(found.schema).parquet(found._strophe_path).filter(F.col("part") == part).drop("part")
+        place = F.struct("rid", "ord")
+        first = rows.groupBy("digest").agg(F.min(F.when(F.col("data").isNotNull(), place)).alias("at"), F.count("*").alias("n"))
+        keeps = first.select("at.rid", "at.ord", (F.col("n") > 1).alias("shared"))
+        # By place, not by digest: no place is hot.
+        once = rows.join(keeps.hint("merge"), ["rid", "ord"], "left").withColumns({"data": F.when(F.col("shared").isNotNull(), F.col("data")), "shared": F.coalesce("shared", F.lit(True))})
+        out = stored(once, "chunks", f"{path}/part={part}")
+        delete(spark, f"{found._strophe_path}/part={part}")
+    discard(found)
+    out = spark.read.schema(out.schema).parquet(path)
+    out._strophe_path = path
+    return out
 
 
 _RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -230,14 +234,12 @@ def read_back(table_: DataFrame, slice_: Column | None = None) -> DataFrame:
 
 def digests(docs: DataFrame, text: str = "text", doc: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """Store all texts as media, read them back and report them; the chunk table goes when the report is there."""
-    spark = docs.sparkSession
-    path = new_path(spark, "media")
-    chunk_table = store(docs.withColumnRenamed(doc, "doc_id"), path, text, rounds)
+    chunk_table = store(docs.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", rounds)
     out = None
     for part in range(rounds):
         done = stored(read_back(chunk_table, F.pmod(F.xxhash64("rid"), F.lit(rounds)) == part), "media-report")
         out = done if out is None else out.unionByName(done)
-    discard(path)
+    discard(chunk_table)
     return out
 
 
