@@ -4,7 +4,8 @@ DataFrame functions only. A benchmark item of at least ``WIDTH`` words gives all
 consecutive words; a shorter one gives itself as one window. The distinct windows are bounded by the size of the
 benchmark, not of the corpus: up to ``MAX_BROADCAST`` of them travel with the plan as hash sets (one of word pairs
 that begin a window, one of whole windows, so that nearly all positions cost one lookup and the rest are compared
-word by word). A larger benchmark is joined by shuffle on the window's hash instead, with the same result.
+word by word). A larger benchmark is joined by shuffle on the window's hash instead, with the same result: the hits are
+verified word by word, and rows find them by a hash of their text.
 
 Defined results: null, empty or wordless texts have no words, no hits and are never contaminated; null or wordless
 items have no windows; repeated rows each get their own result; an empty benchmark hits nothing.
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import ascii_lower, row_key, table
+from strophe.llm.common import ascii_lower, content_key, plan_row, table
 
 WIDTH = 13
 #: Distinct windows that may be carried as sets (about 100 bytes each).
@@ -113,31 +114,28 @@ def scan(docs: DataFrame, idx: Index, text: str = "text", max_broadcast: int = M
     if idx.size <= max_broadcast:
         parts = [_hits_expr(width, *sets) for width, sets in sorted(_sets(idx).items())]
         return out.withColumn("hits", F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]))
-    # The set has no proven bound: windows meet items by a shuffle join on the window itself.
-    out = out.withColumn("_rid", row_key())
-    grams = idx.grams.select("gram", "width").distinct()
+    # The set has no proven bound: distinct texts' windows meet the items by a shuffle join on 128-bit hashes, and what
+    # is met is compared word by word, as equal hashes may differ.
+    grams = idx.grams.select("gram", "width").distinct().select("gram", "width", *_gram_hash(F.split("gram", " ")))
+    out = out.withColumn(_KEY, content_key(F.col(text)))
     each = F.explode(F.array(*[F.lit(x) for x in sorted(idx.widths)]))
     at = (
-        out.select("_rid", "w", each.alias("width"))
+        out.select(_KEY, "w").groupBy(_KEY).agg(F.first("w").alias("w"))
+        .select(_KEY, "w", each.alias("width"))
         .filter(F.size("w") >= F.col("width"))
-        .select(
-            "_rid",
-            F.explode(
-                F.expr("transform(sequence(1, size(w) - width + 1), i -> struct(i AS pos, width, array_join(slice(w, i, width), ' ') AS gram))")
-            ).alias("x"),
-        )
-        .select("_rid", "x.*")
-    )
-    found = (
-        at.join(grams, ["gram", "width"], "left_semi")
-        .groupBy("_rid")
-        .agg(F.collect_set(F.struct("pos", "width")).alias("hits"))
-    )
-    return (
-        out.join(found, "_rid", "left")
-        .withColumn("hits", F.coalesce("hits", F.expr(_NO_HITS)))
-        .drop("_rid")
+        .select(_KEY, "w", "width", F.explode(F.expr("sequence(1, size(w) - width + 1)")).alias("pos"))
+        .select(_KEY, "width", "pos", *_gram_hash(F.expr("slice(w, pos, width)")))
     )
+    met = at.join(grams, ["g1", "g2", "width"]).groupBy(_KEY).agg(F.collect_set(F.struct("pos", "width", "gram")).alias("met"))
+    equal = F.expr("transform(filter(met, h -> array_join(slice(w, h.pos, h.width), ' ') = h.gram), h -> named_struct('pos', h.pos, 'width', h.width))")
+    return out.join(met, _KEY, "left").withColumn("hits", F.coalesce(equal, F.expr(_NO_HITS))).drop(_KEY, "met")
+
+
+_KEY = "_text_key"
+
+
+def _gram_hash(words_: Column) -> list[Column]:
+    return [F.xxhash64(words_).alias("g1"), F.xxhash64(F.lit(13), words_).alias("g2")]
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -148,31 +146,28 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are not contaminated, unchanged."""
     found = scan(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col(f"`{text}`").alias("_t")), index(benchmark), "_t")
-    marked = found.select("_row", contaminated(covered(F.col("hits")), F.size("w")).alias("_bad"), F.monotonically_increasing_id().alias("_at"))
+    marked = found.select("_row", contaminated(covered(F.col("hits")), F.size("w")).alias("_bad"), plan_row().alias("_at"))
     # A filter on _bad alone would be pushed below the words and put their split inside the scan's lambdas, once for
     # each word of a text. The row number is not deterministic, so a filter that needs it stays above.
     return marked.filter(~F.col("_bad") & (F.col("_at") >= 0)).select("_row.*")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """All documents; hit words are cut out of the text, with what separates them from the word before.
 
-    Texts without hits stay as they are.
+    Texts without hits stay as they are. In texts with hits that hold the control character U+0001, the words that stay
+    are joined by one space.
     """
-    found = scan(docs.withColumn("_t", F.col(f"`{text}`")), index(benchmark), "_t")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    found = scan(docs.select(row, F.col(f"`{text}`").alias("_t")), index(benchmark), "_t", max_broadcast)
     # The text as separator, word, separator, word, ..., tail: the k-th word keeps the separator before it.
     pieces = F.split(F.regexp_replace(F.col("_t"), "([0-9A-Za-z\\x{80}-\\x{10FFFF}]+)", "\u0001$1\u0001"), "\u0001")
-    # A text that holds the mark itself is left whole words only.
-    hit = F.expr(
-        "flatten(transform(hits, h -> sequence(h.pos, h.pos + h.width - 1)))"
-    )
-    cut = F.expr(
-        "concat_ws('', transform(_p, (p, k) -> CASE WHEN k < size(_p) - 1 AND array_contains(_h, (k DIV 2) + 1) THEN '' ELSE p END))"
-    )
+    hit = F.expr("flatten(transform(hits, h -> sequence(h.pos, h.pos + h.width - 1)))")
+    cut = F.expr("concat_ws('', transform(_p, (p, k) -> CASE WHEN k < size(_p) - 1 AND array_contains(_h, (k DIV 2) + 1) THEN '' ELSE p END))")
     plain = F.expr("array_join(filter(w, (x, k) -> NOT array_contains(_h, k + 1)), ' ')")
     out = found.withColumn("_h", F.array_distinct(hit)).withColumn("_p", pieces)
-    new = F.when(F.size("hits") == 0, F.col("_t")).when(F.instr(F.col("_t"), "\u0001") > 0, plain).otherwise(cut)
-    return out.withColumn(text, new).select(*docs.columns)
+    new = F.when(F.size("hits") == 0, F.col("_t")).when(F.instr(F.col("_t"), "\u0001") > 0, plain).otherwise(cut).alias(text)
+    return out.select(*[new if c == text else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -180,7 +175,7 @@ def report(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
     idx = index(benchmark)
     found = scan(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), idx, "text", max_broadcast)
     rows = found.select(
-        row_key().alias("rid"),
+        plan_row().alias("rid"),
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         covered(F.col("hits")).cast("long").alias("n_hit"),

@@ -11,7 +11,8 @@ Only windows that hold at least one template shingle are hashed (others cannot c
 lookup on word pairs and then on shingles, bounded by the templates as is the broadcast table of their bands.
 
 Defined results: null, empty and wordless texts match nothing; of several windows a template's best one counts, the
-first among equals; repeated rows report their own matches; templates of under five words are refused.
+first among equals; repeated rows report their own matches; templates of under five words and more than
+``MAX_TEMPLATES`` of them are refused.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import row_key, table
+from strophe.llm.common import plan_row, table
 from strophe.llm.decontaminate import words
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+#: Templates at most, as their shingles travel with the plan.
+MAX_TEMPLATES = 1000
 #: Chance that a matching window shares no band with its template.
 MISS = 1e-4
 
@@ -88,7 +91,9 @@ def _signature(shingles: str, n: str) -> str:
 def scan(docs: DataFrame, templates_: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """(doc_id, rid, template_id, license, containment, first_word) for each template in a text; words count from 1."""
     t = templates_.select("template_id", "license", words(F.col("text")).alias("w"))
-    known = t.collect()  # bounded by the templates
+    known = t.limit(MAX_TEMPLATES + 1).collect()
+    if len(known) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
     if short := [r["template_id"] for r in known if len(r["w"]) < SHINGLE]:
         raise ValueError(f"templates of under {SHINGLE} words: {short}")
     sizes: dict[int, int] = {}
@@ -108,7 +113,7 @@ def scan(docs: DataFrame, templates_: DataFrame, text: str = "text", doc: str =
         f"CASE WHEN size(w) >= {SHINGLE} THEN filter(sequence(1, size(w) - {SHINGLE - 1}), i -> concat(element_at(w, i), ' ', element_at(w, i + 1)) IN ({quoted(heads)})"
         f" AND array_join(slice(w, i, {SHINGLE}), ' ') IN ({quoted(grams)})) ELSE array() END"
     )
-    found = docs.select(row_key().alias("rid"), F.col(doc).alias("doc_id"), words(F.col(text)).alias("w")).withColumn("hits", hits).filter(F.size("hits") > 0)
+    found = docs.select(plan_row().alias("rid"), F.col(doc).alias("doc_id"), words(F.col(text)).alias("w")).withColumn("hits", hits).filter(F.size("hits") > 0)
     classes = F.explode(F.array(*[F.lit(s) for s in sorted(sizes)]))
     # The two windows of a class that hold a hit: the one that begins in its stretch of L words, and the one before.
     touched = F.expr("array_distinct(flatten(transform(hits, p -> array((p - 1) DIV size, greatest((p - 1) DIV size - 1, 0)))))")
