@@ -2,13 +2,20 @@
 
 Documents are tokenized (ids plus an end id) and cut at multiples of the sequence length; what is counted from there on
 is a histogram of piece lengths, at most one row per length however large the corpus. On the driver a linear program
-over patterns (how many pieces of which lengths share a sequence) of the ``MASTER_ROWS`` lengths with most tokens is
-solved by column generation: the duals of the restricted master price new patterns by a knapsack dynamic program, until
-the Farley bound is within ``GAP`` or ``MAX_COLUMNS`` are made. Nearly full patterns are rounded down; the pieces left over are filled, largest first, by exact complements and then by a subset-sum program.
+over patterns (how many pieces of which lengths share a sequence) with a row for every length is solved by column
+generation. The knapsack dynamic program first prices at the duals of the area bound (a length's share of a sequence):
+for the largest length still uncovered, the fullest pattern of lengths still uncovered, used until one of them is
+covered. That gives one column a length and a triangular basis, so a vertex of the program. From there on it prices at
+the vertex's own duals and the simplex method pivots, until the objective is within ``GAP`` of the better of the area
+bound and the Farley bound.
 
-Pieces are ranked within their length (in ``SALTS`` parts, so a length that holds a third of all pieces is spread),
-and the rank says which copy of which pattern takes the piece: sequence and offset follow by arithmetic. The pattern
-table is bounded by the lengths, so it is broadcast. Texts never travel; each piece's row is made where its text is.
+Patterns are then used as often as the program says, rounded down, and once more where half or more was cut off and the
+pieces are there. What is left (a few pieces a length, however many documents) is a smaller program, solved the same
+way, until a program places less than half of what is left; only that rest is filled by complements and subset sums.
+
+Pieces are ranked within their length (in parts, so a length that holds a third of all pieces is spread), and the rank
+says which copy of which pattern takes the piece: sequence and offset follow by arithmetic, from the plan's bounds,
+sorted by length and rank. Texts never travel; each piece's row is made where its text is.
 
 Defined results: null and empty texts are the end id alone, one piece; repeated rows are packed once each; an empty
 table gives an empty result and no sequences.
@@ -18,22 +25,23 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import row_key, stored, table
+from strophe.llm.common import plan_row, stored, table
 
 LENGTH = 2048
 END_ID = 1
-#: Parts a length is ranked in.
+#: Parts a length is ranked in: at least so many, and one for each SALT_ROWS pieces.
 SALTS = 64
-#: Rows of the restricted master: the commonest lengths; the others are filled in after rounding.
-MASTER_ROWS = 100
-MAX_COLUMNS = 300
+SALT_ROWS = 2_000_000
+#: How far the objective may be above its lower bound.
 GAP = 1e-3
+_EPS = 1e-9
 
 _ENCODERS: dict = {}
 
@@ -55,7 +63,7 @@ def _encoder(path: str):
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """(rid, doc_id, start, length, ids_crc32, doc_tokens) for each piece."""
-    rows = docs.select(row_key().alias("rid"), F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(plan_row().alias("rid"), F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,29 +116,100 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), out
 
 
-def solve_master(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often the linear program uses them, over the commonest lengths."""
-    sizes = np.array(sorted(sorted(counts, key=lambda s: (-counts[s] * s, s))[:MASTER_ROWS]))
-    if not len(sizes):
-        return []
-    need = np.array([counts[int(s)] for s in sizes], float)
+def _fullest(free: np.ndarray, gap: int) -> dict[int, int]:
+    """Free lengths, any number of each, with the largest sum that fits the gap: few and long ones where that is easy,
+    else by the dynamic program over reachable sums, kept as the bits of one number."""
+    if gap <= 0:
+        return {}
+    if free[gap]:
+        return {gap: 1}
+    have = np.flatnonzero(free[: gap + 1])
+    if not len(have):
+        return {}
+    pair = have[free[gap - have]]
+    if len(pair):
+        a = int(pair[-1])
+        return {a: 2} if gap == 2 * a else {a: 1, gap - a: 1}
+    reach, mask = 1, (1 << (gap + 1)) - 1
+    for s in have[::-1].tolist():
+        step = s
+        while step <= gap:
+            reach |= (reach << step) & mask
+            step *= 2
+        if reach >> gap & 1:
+            break
+    at, out = reach.bit_length() - 1, {}
+    while at:
+        s = next(s for s in have[::-1].tolist() if s <= at and reach >> (at - s) & 1)
+        out[s] = out.get(s, 0) + 1
+        at -= s
+    return out
+
+
+def _first_vertex(counts: dict[int, int], capacity: int) -> tuple[list[dict[int, int]], list[int], np.ndarray]:
+    """Patterns priced at the area bound's duals, the length each covers last, and how often each is used."""
+    left, free = np.zeros(capacity + 1), np.zeros(capacity + 1, bool)
+    for s, n in counts.items():
+        left[s], free[s] = n, True
+    idle = free.copy()
+    patterns, covers, x = [], [], []
+    for big in sorted(counts, reverse=True):
+        while free[big]:
+            pattern = _fullest(free, capacity - big)
+            pattern[big] = pattern.get(big, 0) + 1
+            times, s = min((left[s] / k, s) for s, k in pattern.items())
+            for t, k in pattern.items():
+                left[t] -= k * times
+                free[t] = left[t] > _EPS
+            free[s] = idle[s] = False
+            patterns.append(pattern)
+            covers.append(s)
+            x.append(times)
+    for s in np.flatnonzero(idle).tolist():  # covered together with another length: a column of its own, unused
+        patterns.append({s: capacity // s})
+        covers.append(s)
+        x.append(0.0)
+    return patterns, covers, np.array(x)
+
+
+@dataclass
+class Program:
+    """A solved linear program: patterns with their use, the objective and a lower bound of it."""
+
+    patterns: list[tuple[dict[int, int], float]]
+    objective: float
+    bound: float
+    priced: int
+
+
+def solve_master(counts: dict[int, int], capacity: int) -> Program:
+    """The linear program over all lengths, to within GAP of its lower bound."""
+    area = sum(s * n for s, n in counts.items()) / capacity
+    patterns, covers, x = _first_vertex(counts, capacity)
+    priced, bound = len(patterns), area
+    sizes = np.array(sorted(counts))
     row = {int(s): i for i, s in enumerate(sizes)}
-    patterns: list[dict[int, int]] = [{int(s): capacity // int(s)} for s in sizes]
-    inverse = np.diag([1.0 / (capacity // int(s)) for s in sizes])
-    basis, x = list(range(len(sizes))), need / (capacity // sizes)
-    for _ in range(MAX_COLUMNS):
+    inverse = None
+    while x.sum() > bound * (1 + GAP):
+        if inverse is None:
+            # Each pattern holds the length it covers and such as later patterns cover: triangular.
+            matrix = np.zeros((len(sizes), len(sizes)))
+            for j, pattern in enumerate(patterns):
+                for s, k in pattern.items():
+                    matrix[row[s], j] = k
+            inverse = np.linalg.inv(matrix)
+            basis = list(range(len(patterns)))
         duals = inverse.sum(axis=0)
         value, pattern = price(np.maximum(duals, 0), sizes, capacity)
+        bound = max(bound, x.sum() / max(value, 1.0))  # Farley
         if value <= 1 + GAP:
-            break  # Farley: the optimum is at least the objective divided by this value
+            break
         column = np.zeros(len(sizes))
         for s, k in pattern.items():
             column[row[s]] = k
         direction = inverse @ column
-        grows = direction > 1e-9
-        if not grows.any():
-            break
-        ratio = np.where(grows, x / np.where(grows, direction, 1), np.inf)
+        grows = direction > _EPS
+        ratio = np.where(grows, np.maximum(x, 0) / np.where(grows, direction, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
         x = x - step * direction
@@ -140,7 +219,9 @@ def solve_master(counts: dict[int, int], capacity: int) -> list[tuple[dict[int,
         inverse[out] = pivot
         patterns.append(pattern)
         basis[out] = len(patterns) - 1
-    return [(patterns[b], float(v)) for b, v in zip(basis, x, strict=True) if v > 1e-9]
+        priced += 1
+    used = range(len(x)) if inverse is None else basis
+    return Program([(patterns[b], float(v)) for b, v in zip(used, x, strict=True) if v > _EPS], float(x.sum()), bound, priced)
 
 
 def _complement(left: np.ndarray, gap: int) -> list[int] | None:
@@ -153,7 +234,7 @@ def _complement(left: np.ndarray, gap: int) -> list[int] | None:
     if ok.any():
         b = int(other[ok][0])
         return [gap - b, b]
-    for a in have[::-1][:64].tolist():
+    for a in have[::-1].tolist():
         rest = gap - a
         if rest <= 0:
             continue
@@ -185,26 +266,33 @@ def _subset(left: np.ndarray, gap: int) -> list[int]:
     return out
 
 
+def programmed(left: np.ndarray, capacity: int) -> tuple[list[tuple[list[tuple[int, int]], int]], list[Program]]:
+    """Rounded patterns of the linear programs, taken off ``left`` (pieces of each length), and the programs."""
+    out: list[tuple[list[tuple[int, int]], int]] = []
+    solved: list[Program] = []
+    before = left.sum()
+    while before:
+        program = solve_master({s: int(left[s]) for s in np.flatnonzero(left).tolist()}, capacity)
+        solved.append(program)
+        whole = [(pattern, int(v + 1e-6), v - int(v + 1e-6)) for pattern, v in program.patterns]
+        rounds = [(pattern, n) for pattern, n, _ in whole] + [(pattern, 1) for pattern, _, part in sorted(whole, key=lambda w: -w[2]) if part >= 0.5]
+        for pattern, n in rounds:
+            if (times := min(n, *(int(left[s]) // k for s, k in pattern.items()))) > 0:
+                out.append((sorted(pattern.items(), reverse=True), times))
+                for s, k in pattern.items():
+                    left[s] -= k * times
+        if 2 * left.sum() > before:
+            break
+        before = left.sum()
+    return out, solved
+
+
 def plan(counts: dict[int, int], capacity: int = LENGTH) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns as [(length, copies)], largest first, and how many sequences take each. All pieces are used exactly."""
     left = np.zeros(capacity + 1, np.int64)
     for s, n in counts.items():
         left[s] += n
-    out: list[tuple[list[tuple[int, int]], int]] = []
-    if left[capacity]:
-        out.append(([(capacity, 1)], int(left[capacity])))
-        left[capacity] = 0
-
-    def use(pattern: dict[int, int], times: int) -> None:
-        if times > 0:
-            out.append((sorted(pattern.items(), reverse=True), times))
-            for s, k in pattern.items():
-                left[s] -= k * times
-
-    solved = solve_master({s: int(left[s]) for s in np.flatnonzero(left).tolist()}, capacity)
-    for pattern, x in sorted(solved, key=lambda p: -p[1]):
-        if sum(s * k for s, k in pattern.items()) >= capacity * 0.995:
-            use(pattern, min(int(x + 1e-6), *(int(left[s]) // k for s, k in pattern.items())))
+    out, _ = programmed(left, capacity)
     while left.any():
         big = int(np.flatnonzero(left)[-1])
         left[big] -= 1
@@ -215,7 +303,10 @@ def plan(counts: dict[int, int], capacity: int = LENGTH) -> list[tuple[list[tupl
         pattern: dict[int, int] = {}
         for s in [big, *rest]:
             pattern[s] = pattern.get(s, 0) + 1
-        use(pattern, min(int(left[s]) // k for s, k in pattern.items()))
+        times = min(int(left[s]) // k for s, k in pattern.items())
+        out.append((sorted(pattern.items(), reverse=True), times))
+        for s, k in pattern.items():
+            left[s] -= k * times
     return out
 
 
@@ -235,25 +326,31 @@ def slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int,
 
 def pack(found: DataFrame, length: int = LENGTH) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``. ``found``: at least rid, start, length, all of it read twice."""
-    spark = found.sparkSession
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS)).cast("int"))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))  # at most length x SALTS rows
-    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    rows = slots(plan(histogram, length))
-    schema = "length long, low long, high long, copies long, first long, at long"
-    assign = spark.createDataFrame(rows or [(0, 0, 0, 1, 0, 0)], schema)
+    histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``length`` rows
+    table_ = np.array(sorted(slots(plan(histogram, length))), np.int64).reshape(-1, 6)
+    salts = max(SALTS, -(-sum(histogram.values()) // SALT_ROWS))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("rid", "start"), F.lit(salts)).cast("int"))
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy("rid", "start")
-    ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
-    placed = ranked.join(F.broadcast(assign), "length").filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    nth = F.col("rank") - F.col("low")
-    return placed.withColumns(
-        {
-            "sequence_id": (F.col("first") + F.floor(nth / F.col("copies"))).cast("long"),
-            "offset": (F.col("at") + (nth % F.col("copies")) * F.col("length")).cast("long"),
-        }
-    ).drop("salt", "rank", "base", "low", "high", "copies", "first", "at")
+    ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(base, ["length", "salt"]).withColumn("rank", (F.col("rank") + F.col("base")).cast("long"))
+    ranked = ranked.drop("salt", "base")
+    names = [c for c in ranked.columns if c != "rank"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, low, _, copies, first, at = table_.T
+        step = np.int64(1) << np.int64(48)
+        bounds = size * step + low
+        for batch in batches:
+            n, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
+            i = np.searchsorted(bounds, n * step + rank, "right") - 1
+            nth = rank - low[i]
+            more = [pa.array(first[i] + nth // copies[i]), pa.array(at[i] + nth % copies[i] * n)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], [*names, "sequence_id", "offset"])
+
+    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, text: str = "text", doc: str = "doc_id") -> DataFrame:
