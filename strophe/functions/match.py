@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strophe.functions.text import equal_positions, lcs_length, single_spaces, to_simplified, trim
+from strophe.functions.text import equal_positions, lcs_length, let, single_spaces, to_simplified, trim
 
 # Points of a match, and the levels of a track's score with their bounds.
 POINTS = {"Perfect": 7.0, "VeryHigh": 6.0, "High": 5.0, "Medium": 4.0, "Low": 2.0, "NoMatch": 0.0}
@@ -29,12 +29,16 @@ def duration_match(a: Column, b: Column) -> Column:
 
 def artist_match(list1: Column, list2: Column) -> Column:
     """By how many of the second list stand in the first; null if either is empty or null. Not symmetric."""
-    a, b = (F.transform(x, lambda v: to_simplified(F.lower(v))) for x in (list1, list2))
+    plain = [F.transform(x, lambda v: to_simplified(F.lower(v))) for x in (list1, list2)]
+    return F.when((F.size(list1) > 0) & (F.size(list2) > 0), let(plain[0], lambda a: let(plain[1], lambda b: _artists(a, b))))
+
+
+def _artists(a: Column, b: Column) -> Column:
     n, m = F.size(a), F.size(b)
     count = F.size(F.filter(b, lambda v: F.array_contains(a, v)))
     first, other = F.get(a, F.lit(0)), F.get(b, F.lit(0))
     one = (n == 1) & (m > 1)
-    out = (
+    return (
         F.when((count == n) & (n == m), "Perfect")
         .when((count + 1 >= n) & (n >= 2) | (n > 6) & (count / n > 0.8), "VeryHigh")
         .when((count == 1) & (n == 1) & (m == 2), "High")
@@ -47,7 +51,6 @@ def artist_match(list1: Column, list2: Column) -> Column:
         .when(count >= 2, "Low")
         .otherwise("NoMatch")
     )
-    return F.when((n > 0) & (m > 0), out)
 
 
 def fold_name(c: Column) -> Column:
@@ -86,13 +89,14 @@ def _any(rules: list[Column]) -> Column:
 def name_rules(a: Column, b: Column) -> Column:
     """Match of two normal names by their marks and positions; null where only their common characters can tell."""
     closed = lambda c: F.replace(trim(F.replace(c, F.lit(" - "), F.lit(" ("))), F.lit(" "), F.lit(""))
-    n, m, same = F.char_length(a), F.char_length(b), equal_positions(a, b)
+    n, m = F.char_length(a), F.char_length(b)
+    alike = let(equal_positions(a, b) / n, lambda share: (n >= 4) & (share >= 0.8) | n.between(2, 3) & (share >= 0.5))
     return (
         F.when(closed(a) == closed(b), "VeryHigh")
         .when(_any([_either(a, b, _only_one(f"({e}")) for e in EDITIONS]), "VeryHigh")
         .when(_any([_either(a, b, _both(f"({x}", f"({y}")) for x, y in (("feat", "explicit"), ("with", "explicit"), ("feat", "feat"), ("with", "with"))]), "High")
         .when(_either(a, b, _only_one("(")), "Medium")
-        .when((n == m) & ((n >= 4) & (same / n >= 0.8) | n.between(2, 3) & (same / n >= 0.5)), "High")
+        .when((n == m) & (n > 0) & alike, "High")
     )
 
 
@@ -113,10 +117,16 @@ def can_band(a: Column, b: Column) -> Column:
 
 def name_match(name1: Column, name2: Column) -> Column:
     """Match of two names; null if either is null. The common subsequence is computed only where nothing else decides."""
-    f1, f2 = fold_name(name1), fold_name(name2)
-    a, b = normal_name(f1), normal_name(f2)
-    lcs = F.when(can_band(a, b), lcs_length(a, b)).otherwise(0)
-    return F.when(name1.isNull() | name2.isNull(), None).when(f1 == f2, "Perfect").otherwise(F.coalesce(name_rules(a, b), name_bands(a, b, lcs)))
+
+    def normal(a: Column, b: Column) -> Column:
+        lcs = F.when(can_band(a, b), lcs_length(a, b)).otherwise(0)
+        return F.coalesce(name_rules(a, b), let(lcs, lambda n: name_bands(a, b, n)))
+
+    def folded(f1: Column, f2: Column) -> Column:
+        return F.when(f1 == f2, "Perfect").otherwise(let(normal_name(f1), lambda a: let(normal_name(f2), lambda b: normal(a, b))))
+
+    found = let(fold_name(name1), lambda f1: let(fold_name(name2), lambda f2: folded(f1, f2)))
+    return F.when(name1.isNotNull() & name2.isNotNull(), found)
 
 
 def points(label: Column) -> Column:

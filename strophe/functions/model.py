@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strophe.functions.text import strip_brackets, trim
+from strophe.functions.text import let, strip_brackets, trim
 from strophe.schemas import ADDITIONAL, LINE, METADATA, SUB_LINE, SYLLABLE, UNSPECIFIED, null, struct
 
 
@@ -144,12 +144,9 @@ def start_or_zero(x: Column) -> Column:
 
 
 def sort_lines(lines: Column) -> Column:
-    """By start time, stable."""
-    keyed = F.transform(lines, lambda x, i: F.struct(start_of(x).alias("start"), i.alias("at"), x.alias("line")))
-    return F.transform(
-        F.array_sort(keyed, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)),
-        lambda k: k["line"],
-    )
+    """By start time, stable; lines without one come first."""
+    order = lambda found: F.array_sort(F.transform(found, lambda x, i: F.struct(start_of(x).alias("start"), i.alias("at"))))
+    return let(lines, lambda found: F.transform(order(found), lambda k: F.get(found, k["at"])))
 
 
 # --- syllable groups and tracks ------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +15,18 @@ TRADITIONAL = "漢語簡體轉換這個時間愛國學習歡樂聽說讀寫電
 SIMPLIFIED = "汉语简体转换这个时间爱国学习欢乐听说读写电脑网络开关门东车马鸟鱼龙风云飞机场员圆广长们为来对会点样经验发现问题应该头发后里么台湾软体词编导无与从众画师传统华丽观见亲谁请谢让过还进远边达运动义务尔"
 
 
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     """Without white space, Unicode's included, at the ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def to_int(c: Column) -> Column:
@@ -50,9 +61,26 @@ def chars(c: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: two folds, the row before as state."""
-    x, y = chars(a), chars(b)
+def _lcs_bits(x: Column, y: Column) -> Column:
+    """Common subsequence of two lists of characters, the second of at most BITS: a row of the table is the bits of one
+    number, and a character moves the whole row on by a few operations (carries of an addition do the comparison)."""
+    one = F.lit(1).cast("long")
+    power = lambda i: F.call_function("shiftleft", one, i)
+
+    def places(ch: Column) -> Column:
+        return F.aggregate(F.transform(y, lambda v, i: F.when(v == ch, power(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, v: s.bitwiseOR(v))
+
+    def count(every: Column) -> Column:
+        def step(row: Column, ch: Column) -> Column:
+            return let(row.bitwiseAND(places(ch)), lambda u: (row + u).bitwiseOR(row - u).bitwiseAND(every))
+
+        return F.aggregate(x, every, step, lambda row: F.bit_count(every - row).cast("int"))
+
+    return let(power(F.size(y)) - one, count)
+
+
+def _lcs_rows(x: Column, y: Column) -> Column:
+    """Common subsequence of two lists of any length: two folds, the row before as state."""
     first = F.transform(F.sequence(F.lit(0), F.size(y)), lambda _: F.lit(0))
 
     def row(before: Column, ch: Column) -> Column:
@@ -62,7 +90,18 @@ def lcs_length(a: Column, b: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.size(y)), F.array(F.lit(0)), cell)
 
-    return F.when((a == "") | (b == ""), F.lit(0)).otherwise(F.element_at(F.aggregate(x, first, row), -1))
+    return F.element_at(F.aggregate(x, first, row), -1)
+
+
+#: Characters whose row of the table fits a number, with room for a carry.
+BITS = 61
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence."""
+    swap = F.char_length(a) < F.char_length(b)
+    found = let(chars(F.when(swap, b).otherwise(a)), lambda x: let(chars(F.when(swap, a).otherwise(b)), lambda y: F.when(F.size(y) <= BITS, _lcs_bits(x, y)).otherwise(_lcs_rows(x, y))))
+    return F.when((a == "") | (b == ""), F.lit(0)).otherwise(found)
 
 
 def similarity(a: Column, b: Column, case_sensitive: bool = True) -> Column:
@@ -75,8 +114,7 @@ def similarity(a: Column, b: Column, case_sensitive: bool = True) -> Column:
 
 def equal_positions(a: Column, b: Column) -> Column:
     """How many characters are the same at the same place."""
-    n = F.least(F.char_length(a), F.char_length(b))
-    return F.when(n == 0, F.lit(0)).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.get(chars(a), i) == F.get(chars(b), i))))
+    return F.size(F.filter(F.zip_with(chars(a), chars(b), lambda x, y: F.coalesce(x == y, F.lit(False))), lambda same: same))
 
 
 def clock_ms(c: Column) -> Column:

@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strophe.functions.text import trim
+from strophe.functions.text import let, trim
 
 # The tags that name a dialect inside a text.
 SYLLABLE_TAG = "[type:LyricifySyllable]"
 LINES_TAG = "[type:LyricifyLines]"
 
 
-def _lines(c: Column) -> Column:
-    return F.split(c, r"\r?\n", -1)
-
-
 def has_syllable_pattern(c: Column) -> Column:
     """One of the first five lines begins with [ and holds ]( and a comma."""
-    return F.exists(F.slice(_lines(c), 1, 5), lambda x: x.startswith("[") & x.contains("](") & x.contains(","))
+    return F.exists(F.slice(F.split(c, r"\r?\n", 6), 1, 5), lambda x: x.startswith("[") & x.contains("](") & x.contains(","))
 
 
 def has_lines_pattern(c: Column) -> Column:
@@ -33,7 +29,10 @@ def is_lrc(c: Column) -> Column:
 
 def detect(c: Column) -> Column:
     """Name of the dialect; the order of the tests decides between those that fit."""
-    t = trim(c)
+    return let(trim(c), _detect)
+
+
+def _detect(t: Column) -> Column:
     json = t.startswith("{") & t.contains('"')
     return (
         F.when(json & (t.contains("colorLyrics") | t.contains("lyrics") & t.contains("syncType")), "spotify")
@@ -51,7 +50,10 @@ def detect(c: Column) -> Column:
 
 def detect_strict(c: Column) -> Column:
     """Like ``detect``, but by the grammar of whole lines, so the syllabic dialects are told apart."""
-    t = trim(c)
+    return let(trim(c), _detect_strict)
+
+
+def _detect_strict(t: Column) -> Column:
     by_line = (
         F.when(t.rlike(r"(?m)^\[\d+,\d+\]\(\d+,\d+,\d+\)"), "yrc")
         .when(t.rlike(r"(?m)^\[\d+,\d+\]<\d+,\d+,\d+>"), "krc")
@@ -59,5 +61,4 @@ def detect_strict(c: Column) -> Column:
         .when(t.rlike(r"(?m)^\[\d\][^\n]*\(\d+,\d+\)"), "syllable")
         .when(t.rlike(r"(?m)^\[\d+,\d+\]"), "lines")
     )
-    found = detect(c)
-    return F.when(found.isin("syllable", "lines", "yrc", "krc", "qrc", "lrc", "unknown") & ~t.contains(SYLLABLE_TAG) & ~t.contains(LINES_TAG), F.coalesce(by_line, found)).otherwise(found)
+    return let(_detect(t), lambda found: F.when(found.isin("syllable", "lines", "yrc", "krc", "qrc", "lrc", "unknown") & ~t.contains(SYLLABLE_TAG) & ~t.contains(LINES_TAG), F.coalesce(by_line, found)).otherwise(found))

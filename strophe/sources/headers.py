@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strophe.functions.model import metadata
-from strophe.functions.text import to_int, trim
+from strophe.functions.text import let, to_int, trim
 
 BOM = "﻿"
 
@@ -17,8 +19,8 @@ def text_lines(c: Column) -> Column:
 
 
 def is_attribute(line: Column) -> Column:
-    t = trim(line)
-    return t.startswith("[") & t.endswith("]") & t.contains(":")
+    """[ first, ] last and a colon between them, whatever white space is around."""
+    return line.rlike(r"(?sU)^\s*\[.*:.*\]\s*\z")
 
 
 def key_value(line: Column) -> Column:
@@ -29,19 +31,25 @@ def key_value(line: Column) -> Column:
 
 def header_size(lines: Column) -> Column:
     """How many lines at the beginning are attributes."""
-    first = F.array_position(F.transform(lines, lambda x: is_attribute(x)), F.lit(False))
-    return F.when(first == 0, F.size(lines)).otherwise(first - 1).cast("int")
+    return let(F.array_position(F.transform(lines, is_attribute), F.lit(False)), lambda first: F.when(first == 0, F.size(lines)).otherwise(first - 1).cast("int"))
+
+
+def with_header(lines: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of the header's (key, value) pairs, in order (keys may repeat), and of the lines after it."""
+
+    def cut(found: Column, n: Column) -> Column:
+        rest = F.slice(found, n + 1, F.greatest(F.size(found) - n, F.lit(0)))
+        return let(F.transform(F.slice(found, F.lit(1), n), key_value), lambda attrs: use(attrs, rest))
+
+    return let(lines, lambda found: let(header_size(found), lambda n: cut(found, n)))
 
 
 def attributes(lines: Column) -> Column:
-    """(key, value) of the header lines, in order; keys may repeat."""
-    return F.transform(F.slice(lines, F.lit(1), header_size(lines)), lambda x: key_value(x))
+    return with_header(lines, lambda attrs, _: attrs)
 
 
 def body(lines: Column) -> Column:
-    """The lines after the header."""
-    n = header_size(lines)
-    return F.slice(lines, n + 1, F.greatest(F.size(lines) - n, F.lit(0)))
+    return with_header(lines, lambda _, rest: rest)
 
 
 def last_value(attrs: Column, key: str) -> Column:

@@ -5,11 +5,13 @@ All are expressions over the lines of a document: one regular expression finds t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strophe.functions import model
-from strophe.functions.text import to_int, trim
+from strophe.functions.text import let, to_int, trim
 from strophe.operators.detect import LINES_TAG
 from strophe.operators.retime import shift_lines
 from strophe.schemas import LEFT, LINE, PARSED, RIGHT, SYLLABLE, UNSPECIFIED, struct
@@ -38,15 +40,20 @@ def _after_bracket(c: Column) -> Column:
     return F.regexp_replace(c, r"^[^\]]*\]", "")
 
 
-def _document(kind: str, c: Column, lines: Column, info=model.general_info) -> Column:
-    attrs = headers.attributes(lines)
-    return struct(
-        PARSED,
-        lyrics_type=kind,
-        sync_type="SyllableSynced",
-        metadata=headers.header_metadata(attrs),
-        additional_info=info(headers.kept_attributes(attrs)),
-    )
+def _document(kind: str, lines: Column, made: Callable[[Column, Column], Column], info=lambda kept, _: model.general_info(kept), sync: str = "SyllableSynced") -> Column:
+    """A document from its text lines; ``made`` makes its lines of those after the header and the header's offset."""
+
+    def whole(attrs: Column, rest: Column) -> Column:
+        return struct(
+            PARSED,
+            lyrics_type=kind,
+            sync_type=sync,
+            metadata=headers.header_metadata(attrs),
+            additional_info=info(headers.kept_attributes(attrs), attrs),
+            lines=let(headers.offset(attrs), lambda offset: made(rest, offset)),
+        )
+
+    return headers.with_header(lines, whole)
 
 
 # --- QRC -----------------------------------------------------------------------------------------------------------
@@ -62,9 +69,7 @@ def qrc_lines(lines: Column, offset: Column) -> Column:
 
 
 def parse_qrc(c: Column) -> Column:
-    lines = headers.text_lines(trim(c))
-    offset = headers.offset(headers.attributes(lines))
-    return _document("qrc", c, lines).withField("lines", qrc_lines(headers.body(lines), offset))
+    return _document("qrc", headers.text_lines(trim(c)), qrc_lines)
 
 
 # --- KRC -----------------------------------------------------------------------------------------------------------
@@ -106,15 +111,18 @@ def krc_translations(c: Column) -> Column:
     return F.transform(F.filter(first["lyricContent"], lambda x: x.isNotNull() & (F.size(x) > 0)), lambda x: F.get(x, F.lit(0)))
 
 
-def _translated(lines: Column, texts: Column) -> Column:
+def _translated(lines: Column, texts_: Column) -> Column:
     """Lines with the translation at their place; // stands for none, and the line is a full one all the same."""
 
-    def one(x: Column, i: Column) -> Column:
-        t = F.get(texts, i)
-        entry = F.when((t != "//") & (t != ""), F.create_map(F.lit("zh"), t)).otherwise(F.create_map().cast("map<string,string>"))
-        return F.when(i < F.coalesce(F.size(texts), F.lit(0)), model.to_full(x, entry, only_syllables=True)).otherwise(x)
+    def put(texts: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            t = F.get(texts, i)
+            entry = F.when((t != "//") & (t != ""), F.create_map(F.lit("zh"), t)).otherwise(F.create_map().cast("map<string,string>"))
+            return F.when(i < F.size(texts), model.to_full(x, entry, only_syllables=True)).otherwise(x)
 
-    return F.transform(lines, one)
+        return F.when(texts.isNull(), lines).otherwise(F.transform(lines, one).cast(_LINES))
+
+    return let(texts_, put)
 
 
 def krc_lines(lines: Column, offset: Column) -> Column:
@@ -123,10 +131,8 @@ def krc_lines(lines: Column, offset: Column) -> Column:
 
 
 def parse_krc(c: Column) -> Column:
-    lines = krc_text_lines(c)
-    attrs = headers.attributes(lines)
-    made = _translated(krc_lines(headers.body(lines), headers.offset(attrs)), krc_translations(c))
-    return _document("krc", c, lines, lambda a: model.krc_info(a, headers.last_value(attrs, "hash"))).withField("lines", made)
+    info = lambda kept, attrs: model.krc_info(kept, headers.last_value(attrs, "hash"))
+    return _document("krc", krc_text_lines(c), lambda rest, offset: _translated(krc_lines(rest, offset), krc_translations(c)), info)
 
 
 def parse_krc_lines(c: Column) -> Column:
@@ -150,6 +156,10 @@ def parse_yrc(c: Column) -> Column:
     """Credit lines (JSON) become plain timed lines in their place; with them the document is mixed-synced."""
     rows = F.filter(headers.text_lines(c), lambda x: trim(x) != "")
     kinds = F.transform(rows, lambda x: F.struct(x.alias("x"), F.when(x.startswith("{"), F.from_json(x, _CREDIT)).alias("credit")))
+    return let(kinds, _yrc)
+
+
+def _yrc(kinds: Column) -> Column:
     credits = F.filter(F.transform(kinds, lambda k: k["credit"]), lambda k: k["t"].isNotNull())
     names = F.try_element_at(F.filter(credits, lambda k: F.get(k["c"], F.lit(0))["tx"].startswith(WRITERS)), F.lit(1))["c"]
     writers = F.filter(F.transform(F.slice(names, 2, F.greatest(F.size(names), F.lit(1))), lambda x: x["tx"]), lambda t: t != "/")
@@ -227,9 +237,7 @@ def syllable_lines(lines: Column, offset: Column) -> Column:
 
 
 def parse_syllable(c: Column) -> Column:
-    lines = headers.text_lines(trim(c))
-    offset = headers.offset(headers.attributes(lines))
-    return _document("syllable", c, lines).withField("lines", syllable_lines(headers.body(lines), offset))
+    return _document("syllable", headers.text_lines(trim(c)), syllable_lines)
 
 
 # --- the line dialect ----------------------------------------------------------------------------------------------
@@ -243,6 +251,4 @@ def lines_line(c: Column) -> Column:
 
 def parse_lines(c: Column) -> Column:
     lines = headers.text_lines(trim(F.replace(c, F.lit(LINES_TAG), F.lit(""))))
-    attrs = headers.attributes(lines)
-    made = F.filter(F.transform(headers.body(lines), lines_line).cast(_LINES), lambda x: x.isNotNull())
-    return _document("lines", c, lines).withField("lines", shift_lines(made, headers.offset(attrs))).withField("sync_type", F.lit("LineSynced"))
+    return _document("lines", lines, lambda rest, offset: shift_lines(F.filter(F.transform(rest, lines_line).cast(_LINES), lambda x: x.isNotNull()), offset), sync="LineSynced")
