@@ -24,10 +24,13 @@ _SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from strophe import examples  # noqa: F401  registers further queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -98,9 +101,11 @@ def lrc_roundtrip(spark, sf_dir):
 
 @query(f"WITH {_EVENTS_SQL} SELECT user_id, event_id, ends FROM t")
 def huge_end_time(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(_SECOND).alias("s"))
-    gap = F.lead("s").over(Window.partitionBy("user_id").orderBy("s", "event_id")) - (F.col("s") + 1000)
-    return e.select("user_id", "event_id", ((F.col("s") + 1000 > 0) & F.coalesce(gap > generate.HUGE_GAP, F.lit(True))).alias("ends"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(_SECOND).alias("start"))
+    value = model.line(F.col("event_id").cast("string"), F.col("start"), F.col("start") + 1000)
+    tracks = _gathered(e, ["user_id"], ["start", "event_id"], value, "lines")
+    ends = F.transform("lines", lambda x, i: F.struct(x["text"].cast("long").alias("event_id"), generate.add_end(model.end_of(x), F.col("lines"), i, "huge").alias("ends")))
+    return tracks.select("user_id", F.explode(ends).alias("x")).select("user_id", "x.*")
 
 
 @query("SELECT event_id, printf('%02d:%02d.%03d', ms // 60000, ms % 60000 // 1000, ms % 1000) AS stamp FROM (SELECT event_id, date_diff('millisecond', date_trunc('hour', ts), ts) AS ms FROM events)")
@@ -117,9 +122,12 @@ def offset_shift(spark, sf_dir):
 
 @query("SELECT user_id, CASE WHEN l AND y THEN 'MixedSynced' WHEN l THEN 'LineSynced' WHEN y THEN 'SyllableSynced' ELSE 'Unknown' END AS sync_type FROM (SELECT user_id, bool_or(event_type = 'click') AS l, bool_or(event_type = 'purchase') AS y FROM events GROUP BY user_id)")
 def sync_type(spark, sf_dir):
-    flags = table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "click").alias("l"), F.bool_or(F.col("event_type") == "purchase").alias("y"))
-    kind = F.when(F.col("l") & F.col("y"), "MixedSynced").when(F.col("l"), "LineSynced").when(F.col("y"), "SyllableSynced").otherwise("Unknown")
-    return flags.select("user_id", kind.alias("sync_type"))
+    """Clicks are plain paragraphs, purchases timed spans, all else is left out by the parser."""
+    e = table(spark, sf_dir, "events")
+    p = F.when(F.col("event_type") == "click", '<p begin="1" end="2">x</p>').when(F.col("event_type") == "purchase", '<p><span begin="1" end="2">x</span></p>').otherwise("<p>x</p>")
+    docs = e.groupBy("user_id").agg(F.array_join(F.collect_list(p), "").alias("body"))
+    text_ = F.concat(F.lit('<tt xmlns="http://www.w3.org/ns/ttml"><body><div>'), "body", F.lit("</div></body></tt>"))
+    return docs.select("user_id", ttml.parse(text_).alias("d")).select("user_id", F.col("d.sync_type").alias("sync_type"))
 
 
 # --- orders as lines of syllables ----------------------------------------------------------------------------------
@@ -220,7 +228,8 @@ def ttml_parse(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, string_split(text, chr(10))[i] AS line FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(i)")
 def lines_explode(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = F.transform(headers.text_lines(F.col("text")), lambda x: model.line(x)).cast(f"array<{LINE}>")
+    return explode_lines(table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))).select("doc_id", "line_no", F.col("text").alias("line"))
 
 
 # Synthesized texts of all dialects, as expressions that both engines read alike.
@@ -236,8 +245,8 @@ _FORMS = [
     "'[type:LyricifyLines]' || chr(10) || '[0,' || p_size || ']' || p_name",
     "p_name",
 ]
-_FORM = "CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_FORMS)) + " END"
-_TEXTS = f"SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'g' || page_id, html FROM pages UNION ALL SELECT 'p' || p_partkey, {_FORM} FROM part"
+FORM = "CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_FORMS)) + " END"
+_TEXTS = f"SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'g' || page_id, html FROM pages UNION ALL SELECT 'p' || p_partkey, {FORM} FROM part"
 
 
 @query(f"""WITH t AS (SELECT id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM ({_TEXTS})),
@@ -252,7 +261,7 @@ SELECT id, CASE WHEN starts_with(x, '{{') AND contains(x, '"') AND (contains(x,
 def detect_format(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     g = table(spark, sf_dir, "pages").select(F.concat(F.lit("g"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
-    p = table(spark, sf_dir, "part").selectExpr("'p' || p_partkey AS id", f"{_FORM} AS text")
+    p = table(spark, sf_dir, "part").selectExpr("'p' || p_partkey AS id", f"{FORM} AS text")
     return d.unionByName(g).unionByName(p).select("id", detect.detect(F.col("text")).alias("raw_type"))
 
 
@@ -311,21 +320,6 @@ def background_merge(spark, sf_dir):
     return rows.select("conv_id", "line_no", model.any_text(F.col("x")).alias("text"), F.when(F.col("x.sub_line").isNotNull(), model.any_text(F.col("x.sub_line"))).alias("under"))
 
 
-@query("""WITH u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant')
-SELECT u.conv_id, u.turn, a.turn AS translation_turn FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.k = u.k""")
-def translation_join(spark, sf_dir):
-    k = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", k.alias("k"))
-    told = c.filter("role = 'assistant'").select("conv_id", "k", F.col("turn").alias("translation_turn"))
-    return c.filter("role = 'user'").join(told, ["conv_id", "k"], "left").select("conv_id", "turn", "translation_turn")
-
-
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def json_props(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
-
-
 @query("SELECT d.doc_id, least(n_chars, quality * 500) AS lo, greatest(n_chars, quality * 500) AS hi FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def min_max_opt(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -350,11 +344,6 @@ def text_helpers(spark, sf_dir):
     )
 
 
-@query(f"SELECT p_partkey, translate('{text.TRADITIONAL}' || p_name, '{text.TRADITIONAL}', '{text.SIMPLIFIED}') AS simplified, '漢語簡' || p_name AS traditional FROM part")
-def script_conversion(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", text.to_simplified(F.concat(F.lit(text.TRADITIONAL), "p_name")).alias("simplified"), text.to_traditional(F.concat(F.lit("汉语简"), "p_name")).alias("traditional"))
-
 
 # --- containers ----------------------------------------------------------------------------------------------------
 
@@ -404,23 +393,14 @@ def artist_match(spark, sf_dir):
     return p.join(b, "p_partkey", "left").select("p_partkey", match.artist_match(F.col("a"), F.col("b")).alias("label"))
 
 
-_PAIRS = "n AS (SELECT DISTINCT p_name AS a FROM part), p AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON x.a[1] = y.a[1])"
+_PAIRS = "n AS (SELECT DISTINCT p_name AS a FROM part), p AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON true)"
 _LCS = f"""WITH RECURSIVE {_PAIRS}, r AS (
   SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda z: 0) AS cells FROM p
   UNION ALL SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]), lambda cur, j: list_append(cur, CASE WHEN b[j[1]] = a[i + 1] THEN cells[j[1]] + 1 ELSE greatest(cells[j[1] + 1], cur[-1]) END), [0::BIGINT]) FROM r WHERE i < length(a)),
 s AS (SELECT a, b, cells[-1] AS lcs FROM r WHERE i = length(a))"""
 
 
-_ALL_PAIRS = ("x.a[1] = y.a[1]", "true")
-
-
 def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct names with the same first letter, as the SQL has them."""
-    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct().withColumn("block", F.substring("a", 1, 1))
-    return n.join(n.select("block", F.col("a").alias("b")), "block").select("a", "b")
-
-
-def _all_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of distinct names: those that do not match are results, too, so nothing blocks."""
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
     return n.crossJoin(n.select(F.col("a").alias("b")))
@@ -440,16 +420,6 @@ def name_match(spark, sf_dir):
     return _name_pairs(spark, sf_dir).select("a", "b", match.name_match(F.col("a"), F.col("b")).alias("label"))
 
 
-@query(_SQL["text_similarity"].replace(*_ALL_PAIRS))
-def text_similarity_all(spark, sf_dir):
-    return _all_name_pairs(spark, sf_dir).select("a", "b", text.similarity(F.col("a"), F.col("b")).alias("similarity"))
-
-
-@query(_SQL["name_match"].replace(*_ALL_PAIRS))
-def name_match_all(spark, sf_dir):
-    return _all_name_pairs(spark, sf_dir).select("a", "b", match.name_match(F.col("a"), F.col("b")).alias("label"))
-
-
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(
@@ -490,15 +460,22 @@ m AS (SELECT *, CASE WHEN title = p_name THEN 7.0 ELSE 6.0 END + 7.0
    + CASE WHEN abs(td - cd) = 0 THEN 7.0 WHEN abs(td - cd) < 300 THEN 6.0 WHEN abs(td - cd) < 700 THEN 5.0 WHEN abs(td - cd) < 1500 THEN 4.0 WHEN abs(td - cd) < 3500 THEN 2.0 ELSE 0.0 END AS base, ta = ca AS same FROM f WHERE level = first)"""
 
 
-@query(f"{_SEARCH_SQL} SELECT track_id, CAST(id AS VARCHAR) AS id, level, CAST((base + 2.8) * 30.0 / (30.0 - 0.2 * 7.0) AS DOUBLE) AS score FROM m WHERE same")
-def track_score(spark, sf_dir):
-    found = search.search(_tracks(spark, sf_dir), _catalogue(spark, sf_dir))
-    return found.filter("album_match = 'Perfect'").select("track_id", "id", "level", "score")
+# The album's match by the rules for names without marks, from its common characters.
+_ALBUM_SQL = """x AS (SELECT DISTINCT lower(ta) AS a, lower(ca) AS b FROM m WHERE ta <> ca),
+r AS (
+  SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda z: 0) AS cells FROM x
+  UNION ALL SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]), lambda cur, j: list_append(cur, CASE WHEN b[j[1]] = a[i + 1] THEN cells[j[1]] + 1 ELSE greatest(cells[j[1] + 1], cur[-1]) END), [0::BIGINT]) FROM r WHERE i < length(a)),
+g AS (SELECT a, b, CASE WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN 6.0
+  WHEN length(a) = length(b) AND length(a) >= 4 AND len(list_filter(range(1, length(a) + 1), lambda j: a[j] = b[j])) / length(a) >= 0.8 THEN 5.0
+  WHEN share > 90 THEN 6.0 WHEN share > 80 THEN 5.0 WHEN share > 68 THEN 4.0 WHEN share > 55 THEN 2.0 ELSE 0.0 END AS points
+  FROM (SELECT a, b, cells[-1] * 100.0 / greatest(length(a), length(b)) AS share FROM r WHERE i = length(a)))"""
 
 
-@query()
-def track_score_all(spark, sf_dir):
-    """Every scored pair; the SQL of track_score has only those of equal album, whose score it knows."""
+@query(f"""{_SEARCH_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, {_ALBUM_SQL}
+SELECT track_id, CAST(id AS VARCHAR) AS id, level, CAST((base + 0.4 * CASE WHEN same THEN 7.0 ELSE g.points END) * 30.0 / (30.0 - 0.2 * 7.0) AS DOUBLE) AS score
+FROM m LEFT JOIN g ON g.a = lower(ta) AND g.b = lower(ca)""")
+def track_score(spark, sf_dir):
+    """Every scored pair of the search."""
     return search.search(_tracks(spark, sf_dir), _catalogue(spark, sf_dir)).select("track_id", "id", "level", "score")
 
 
@@ -524,8 +501,14 @@ def catalogue_answers(spark, sf_dir):
 @query("""SELECT s_suppkey, CASE WHEN c = 1 THEN 'Left' WHEN (k - 1) % 2 = 0 THEN 'Left' ELSE 'Right' END AS alignment
 FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k, count(*) OVER (PARTITION BY s_nationkey) AS c FROM supplier)""")
 def agent_alignment(spark, sf_dir):
-    k = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.when((k - 1) % 2 == 0, "Left").otherwise("Right").alias("alignment"))
+    """The suppliers of a nation are agents of one kind, each with a paragraph: the parser decides their sides."""
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey")
+    rows = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("keys"))
+    agents = F.array_join(F.transform("keys", lambda k: F.concat(F.lit('<ttm:agent type="group" xml:id="v'), k.cast("string"), F.lit('"/>'))), "")
+    lines = F.array_join(F.transform("keys", lambda k: F.concat(F.lit('<p begin="1" end="2" ttm:agent="v'), k.cast("string"), F.lit('">'), k.cast("string"), F.lit("</p>"))), "")
+    doc = F.concat(F.lit('<tt xmlns="http://www.w3.org/ns/ttml" xmlns:ttm="http://www.w3.org/ns/ttml#metadata"><head>'), agents, F.lit("</head><body>"), lines, F.lit("</body></tt>"))
+    found = rows.select("s_nationkey", ttml.parse(doc)["lines"].alias("lines"))
+    return explode_lines(found).select(F.col("text").cast("long").alias("s_suppkey"), "alignment")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 PUNCTUATION = ". , ! ? ; : - ( ) 。 ， ！ ？ ； ： — （ ） ' \" … 、 ～ ~".split(" ")
 EXPLICIT = ("🅴", "[E]")
 # Traditional characters and their simplified forms, one to one; a larger table is a parameter.
-TRADITIONAL = "漢語簡體轉換這個時間愛國學習歡樂聽說讀寫電腦網絡開關門東車馬鳥魚龍風雲飛機場員圓廣長們為來對會點樣經驗發現問題應該頭髮後裡麼臺灣軟體詞編導無與從眾畫師傳統華麗觀見親誰請謝讓過還進遠邊達運動義務爾"
-SIMPLIFIED = "汉语简体转换这个时间爱国学习欢乐听说读写电脑网络开关门东车马鸟鱼龙风云飞机场员圆广长们为来对会点样经验发现问题应该头发后里么台湾软体词编导无与从众画师传统华丽观见亲谁请谢让过还进远边达运动义务尔"
+TRADITIONAL = "漢語簡體轉換這個時間愛國學習歡樂聽說讀寫電腦網絡開關門東車馬鳥魚龍風雲飛機場員圓廣長們為來對會點樣經驗發現問題應該頭髮後裡麼臺灣軟詞編導無與從眾畫師傳統華麗觀見親誰請謝讓過還進遠邊達運動義務爾萬醜專業叢絲兩嚴喪豐臨舉烏喬鄉書買亂爭虧亞產億僅倉儀價優傷倫偉側債傾償兒黨蘭興養獸內軍農決況凍淨涼減鳳憑擊劃劉則剛創別劇勸辦勝勞勢區醫協單賣衛卻廠廳歷壓縣參雙變葉號嚇嗎啟吳喚團園圍圖聖壞塊堅聲處備復"
+SIMPLIFIED = "汉语简体转换这个时间爱国学习欢乐听说读写电脑网络开关门东车马鸟鱼龙风云飞机场员圆广长们为来对会点样经验发现问题应该头发后里么台湾软词编导无与从众画师传统华丽观见亲谁请谢让过还进远边达运动义务尔万丑专业丛丝两严丧丰临举乌乔乡书买乱争亏亚产亿仅仓仪价优伤伦伟侧债倾偿儿党兰兴养兽内军农决况冻净凉减凤凭击划刘则刚创别剧劝办胜劳势区医协单卖卫却厂厅历压县参双变叶号吓吗启吴唤团园围图圣坏块坚声处备复"
+# Words whose simplified characters stand for another traditional one than usual.
+WORDS = {"头发": "頭髮", "理发": "理髮", "皇后": "皇后", "太后": "太后", "王后": "王后", "万里": "萬里", "千里": "千里", "公里": "公里", "故里": "故里", "干杯": "乾杯", "饼干": "餅乾"}
 
 
 #: Unicode's white space.
@@ -165,13 +167,35 @@ def hex_bytes(c: Column) -> Column:
     return F.when(c.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(c))
 
 
-def to_simplified(c: Column, table: tuple[str, str] = (TRADITIONAL, SIMPLIFIED)) -> Column:
-    return F.translate(c, *table)
+def read_script(path: str) -> tuple[tuple[str, str], dict[str, str]]:
+    """Characters and words of a dictionary in the customary form: a line for each, key, tab, values parted by spaces."""
+    with open(path, encoding="utf-8") as f:
+        rows = [line.rstrip("\n").split("\t") for line in f if "\t" in line and not line.startswith("#")]
+    pairs = [(k, v.split(" ")[0]) for k, v, *_ in rows]
+    single = [(k, v) for k, v in pairs if len(k) == 1 and len(v) == 1]
+    return ("".join(k for k, _ in single), "".join(v for _, v in single)), {k: v for k, v in pairs if len(k) > 1}
 
 
-def to_traditional(c: Column, table: tuple[str, str] = (TRADITIONAL, SIMPLIFIED)) -> Column:
+def _converted(c: Column, table: tuple[str, str], words: dict[str, str]) -> Column:
+    """The longest word at each place by the dictionary, all other characters by the table."""
+    plain = F.translate(c, *table)
+    if not words:
+        return plain
+    any_word = "|".join(rf"\Q{k}\E" for k in sorted(words, key=lambda k: (-len(k), k)))
+    known = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    parts = F.regexp_extract_all(c, F.lit(f"(?s)({any_word}|.)"), F.lit(1))
+    return F.when(c.rlike(any_word), F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(known, t), F.translate(t, *table))), "")).otherwise(plain)
+
+
+def to_simplified(c: Column, table: tuple[str, str] = (TRADITIONAL, SIMPLIFIED), phrases: dict[str, str] | None = None) -> Column:
+    """Simplified script: words of ``phrases`` first, then single characters; a larger dictionary comes by ``read_script``."""
+    return _converted(c, table, phrases or {})
+
+
+def to_traditional(c: Column, table: tuple[str, str] = (TRADITIONAL, SIMPLIFIED), phrases: dict[str, str] = WORDS) -> Column:
+    """Traditional script; ``table`` has the traditional characters first, the usual one of several before the others."""
     pairs = dict(zip(reversed(table[1]), reversed(table[0]), strict=True))
-    return F.translate(c, "".join(pairs), "".join(pairs.values()))
+    return _converted(c, ("".join(pairs), "".join(pairs.values())), phrases)
 
 
 def min_opt(a: Column, b: Column) -> Column:

@@ -51,9 +51,9 @@ def parts(spark, tmp_path_factory):
 
 def test_all_name_pairs(spark, parts):
     where, _ = parts
-    got = {(r.a, r.b): r.label for r in catalogue.queries()["name_match_all"](spark, where).collect()}
+    got = {(r.a, r.b): r.label for r in catalogue.queries()["name_match"](spark, where).collect()}
     assert got == {(a, b): name_match(a, b) for a in NAMES for b in NAMES}
-    got = {(r.a, r.b): round(r.similarity, 6) for r in catalogue.queries()["text_similarity_all"](spark, where).collect()}
+    got = {(r.a, r.b): round(r.similarity, 6) for r in catalogue.queries()["text_similarity"](spark, where).collect()}
     assert got == {(a, b): round(share(a, b), 6) for a in NAMES for b in NAMES}
     assert got["old gizmo", "cold gizmo"] == 90
 
@@ -86,7 +86,7 @@ def test_all_track_scores(spark, parts, where):
     if where == "generated":
         sf_dir = "/root/testdata/sf0.001"
         rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").collect()]
-    found = catalogue.queries()["track_score_all"](spark, sf_dir).collect()
+    found = catalogue.queries()["track_score"](spark, sf_dir).collect()
     got = {(r.track_id, r.id): (r.level, round(r.score, 6)) for r in found}
     want = track_scores(rows)
     assert len(found) == len(got) and got == want
