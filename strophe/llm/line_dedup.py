@@ -7,7 +7,7 @@ lines within ``NEAR`` of the threshold get an exact distinct count. Of a boilerp
 corpus (lowest doc_id, then line number) stays, so no text leaves the corpus altogether; all others are removed.
 
 A line is what stands between line feeds, compared without the white space at its ends. The spread of every line that
-is not blank is counted. ``min_words`` leaves shorter lines out; only op1_line_dedup, whose SQL has such a bar, sets it.
+is not blank is counted, however short it is and whatever its script.
 
 Defined results: a null text stays null and has no lines; an empty text has one empty line, which stays; a null site
 counts as one site of its own; rows equal in doc_id, site and text are one document read several times and are cut
@@ -22,25 +22,21 @@ from pyspark.sql import functions as F
 from strophe.llm.common import content_key, discard, stored, table
 
 MIN_SITES = 5
-#: The bar of op1_line_dedup and its SQL.
-MIN_WORDS = 4
 #: lgK of the sketches: relative standard error about 1.04 / sqrt(2 ** LG_K) = 1.6 %.
 LG_K = 12
 #: Estimates within this share of the threshold (six standard errors) are counted exactly.
 NEAR = 0.1
 
 _EDGE = r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$"
-#: At least n words: n runs of what is not white space.
-_WORDS = r"^(?:[^\x09-\x0D\x20]+[\x09-\x0D\x20]+){%d}[^\x09-\x0D\x20]"
 
 
-def _lines(base: DataFrame, min_words: int) -> DataFrame:
+def _lines(base: DataFrame) -> DataFrame:
     """Hashes of the lines that may be boilerplate, with their place."""
     line = F.regexp_replace(F.col("l"), _EDGE, "")
     return (
         base.select("rid", F.coalesce(F.col("site").cast("string"), F.lit("\u0000")).alias("site"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "l"))
         .select("rid", "site", "doc_id", "line_no", line.alias("l"))
-        .filter(F.col("l").rlike(_WORDS % (min_words - 1)))
+        .filter(F.col("l") != "")
         .select("rid", "site", "doc_id", "line_no", F.xxhash64("l").alias("h1"), F.xxhash64(F.lit(7), F.col("l")).alias("h2"))
     )
 
@@ -66,7 +62,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     return found
 
 
-def cut(docs: DataFrame, site: str = "source", text: str = "text", doc: str = "doc_id", min_sites: int = MIN_SITES, min_words: int = 1) -> DataFrame:
+def cut(docs: DataFrame, site: str = "source", text: str = "text", doc: str = "doc_id", min_sites: int = MIN_SITES) -> DataFrame:
     """(row, clean, n_lines, n_removed): each row of ``docs`` as a struct, its text without removed lines, and counts.
 
     The order of what stays is kept. A document whose lines all go ends with an empty text.
@@ -74,7 +70,7 @@ def cut(docs: DataFrame, site: str = "source", text: str = "text", doc: str = "d
     key = content_key(*[F.col(f"`{c}`") for c in (doc, site, text)])
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{site}`").alias("site"), key.alias("rid"))
     # Lines are split and hashed once; what follows reads the stored hashes.
-    lines = stored(_lines(base, min_words), "line-hashes")
+    lines = stored(_lines(base), "line-hashes")
     bad = boilerplate(lines, min_sites)
     first = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.rid") == F.col("rid")) & (F.col("first.line_no") == F.col("line_no"))
     gone = lines.join(bad.hint("merge"), ["h1", "h2"]).filter(~first).groupBy("rid").agg(F.collect_set("line_no").alias("gone"))
@@ -90,21 +86,16 @@ def cut(docs: DataFrame, site: str = "source", text: str = "text", doc: str = "d
     )
 
 
-def dedup(docs: DataFrame, site: str = "source", text: str = "text", doc: str = "doc_id", min_sites: int = MIN_SITES, min_words: int = 1, out: str = "clean") -> DataFrame:
+def dedup(docs: DataFrame, site: str = "source", text: str = "text", doc: str = "doc_id", min_sites: int = MIN_SITES, out: str = "clean") -> DataFrame:
     """``docs`` with ``clean`` (the text without removed lines), ``n_lines`` and ``n_removed``, in place of columns of
     those names."""
     own = [c for c in docs.columns if c not in (out, "n_lines", "n_removed")]
-    return cut(docs, site, text, doc, min_sites, min_words).select(*[F.col(f"row.`{c}`") for c in own], F.col("clean").alias(out), "n_lines", "n_removed")
+    return cut(docs, site, text, doc, min_sites).select(*[F.col(f"row.`{c}`") for c in own], F.col("clean").alias(out), "n_lines", "n_removed")
 
 
-def query(spark, sf_dir: str, min_words: int = MIN_WORDS) -> DataFrame:
+def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return dedup(docs, min_words=min_words).select("doc_id", "n_lines", "n_removed", _sha(F.col("clean")).alias("clean_sha256"), F.char_length("clean").cast("long").alias("clean_chars"))
-
-
-def query_all(spark, sf_dir: str) -> DataFrame:
-    """Lines of any number of words."""
-    return query(spark, sf_dir, 1)
+    return dedup(docs).select("doc_id", "n_lines", "n_removed", _sha(F.col("clean")).alias("clean_sha256"), F.char_length("clean").cast("long").alias("clean_chars"))
 
 
 def _sha(c: Column) -> Column:
@@ -121,7 +112,7 @@ l AS (
 t AS (SELECT rid, key, doc_id, site, line_no, line, regexp_replace(line, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS k FROM l),
 b AS (
   SELECT k, min(struct_pack(doc_id := doc_id, key := key, line_no := line_no)) AS first FROM t
-  WHERE regexp_matches(k, '^(?:[^\x09-\x0D\x20]+[\x09-\x0D\x20]+){{{MIN_WORDS - 1}}}[^\x09-\x0D\x20]')
+  WHERE k <> ''
   GROUP BY k HAVING count(DISTINCT site) >= {MIN_SITES}),
 x AS (
   SELECT t.rid, t.line_no, line, b.k IS NOT NULL AND NOT (b.first.doc_id = t.doc_id AND b.first.key = t.key AND b.first.line_no = t.line_no) AS gone
@@ -133,7 +124,3 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_
        sha256(clean) AS clean_sha256, CAST(length(clean) AS BIGINT) AS clean_chars
 FROM d LEFT JOIN c USING (rid)
 """
-
-#: The same without the bar.
-SQL_ALL = SQL.replace(rf"regexp_matches(k, '^(?:[^\x09-\x0D\x20]+[\x09-\x0D\x20]+){{{MIN_WORDS - 1}}}[^\x09-\x0D\x20]')", "k <> ''")
-assert SQL_ALL != SQL

@@ -257,7 +257,9 @@ def _blocks(members: DataFrame, group: str, member) -> DataFrame:
     """(x, y) for each two tiles of each group, y null for a tile with itself. ``members``: group, sig, tiles (how many
     tiles the group has). Groups of one tile, nearly all, are not dealt out again; the pairs of others are spread."""
     tiles = members.groupBy(group, "tiles", F.pmod(F.xxhash64("sig"), F.col("tiles")).alias("tile")).agg(F.collect_list(member).alias("x"))
-    tiles = stored(tiles, "tiles")
+    # The members may lie by group; they are dealt out by tile, too, so that no task gets all of a large group.
+    with session_conf(members.sparkSession, {"spark.sql.requireAllClusterKeysForDistribution": "true"}):
+        tiles = stored(tiles, "tiles")
     none = F.lit(None).cast(tiles.schema["x"].dataType)
     one = tiles.filter("tiles = 1").select("x", none.alias("y"))
     each = tiles.filter("tiles > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
