@@ -1,14 +1,18 @@
 """Toxicity by weak supervision.
 
-Voters are mined from labelled training rows: words that are much commoner in toxic documents (a likelihood ratio test
-whose bar rises with the number of words tried), their common beginnings as patterns, and patterns of the text as a
-whole. A generative label model estimates by EM how often each voter fires on either class; pairs of voters that fire
-together more than their class explains are correlated, and their evidence is shared out. Its posterior labels train a
-linear classifier (logistic regression) over the voters, which scores every text.
-
-What is fitted is fitted on at most ``MAX_LABELLED`` labelled rows, chosen by a hash of doc_id when there are more; the
-bound makes the label table broadcastable, the vote matrix (at most ``MAX_VOTERS`` wide) fit the driver, and it is the
-only part that does not see all rows. Scoring is one pass over all texts without a shuffle.
+Voters are mined from labelled training rows: words that are commoner in toxic documents by a likelihood ratio test
+whose bar rises with the number of words tried (the ``MAX_VOTERS`` of the highest statistic), their common beginnings
+as patterns, and patterns of the text as a whole. A generative label model has for each voter the rates at which it
+fires on either class. The labels start it and anchor it: in each step of EM the rates are estimated from the training
+rows by their labels and from all other rows of the corpus that are not held out by the posterior of their votes. Pairs
+of voters that fire together more than their class explains (correlation over ``CORRELATED`` within the classes) share
+their evidence out. The posteriors of the training rows' votes, in which no row's own label stands, train a linear
+classifier (logistic regression) over the voters, which scores every text.
+
+Voters are tested, and the classifier is fitted, on at most ``MAX_LABELLED`` labelled rows, chosen by a hash of doc_id
+when there are more; the bound makes the label table broadcastable and the vote matrix fit the driver. The label model's
+rates are summed over all rows (equal votes are one row with a count) and only a row for each voter comes to the driver.
+Scoring is one pass over all texts without a shuffle.
 
 Defined results: null and empty texts cast no votes and get the classifier's base score; documents without a label are
 scored like all others; several labels of one document count as toxic if any is; without labels of both classes every
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import stored, table
+from strophe.llm.common import discard, stored, table
 
 #: Labelled rows used for fitting, at most.
 MAX_LABELLED = 40_000
@@ -38,11 +42,16 @@ MAX_VOTERS = 400
 MIN_SUPPORT = 3
 THRESHOLD = 0.3
 PREFIX = 5
+#: Correlation within the classes from which voters share their evidence, and EM's steps and end.
+CORRELATED = 0.5
+STEPS, STILL = 6, 1e-3
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
-#: Voters over the whole text, after the lexicon voters.
-PATTERNS = ("any lexicon word", "several lexicon words", "many lexicon words", "no lexicon word", "shouting", "repetition")
+#: Voters over the whole text, after the lexicon voters; those after them are made of the others, so only the classifier
+#: has them.
+PATTERNS = ("shouting", "repetition")
+DERIVED = ("any lexicon word", "several lexicon words", "many lexicon words", "no lexicon word")
 
 
 @dataclass
@@ -55,7 +64,7 @@ class Model:
     weights: list[float] = field(default_factory=list)
 
     def votes(self, text: str | None) -> list[int]:
-        """Indices of the voters that fire."""
+        """Indices of the voters that fire; DERIVED come last."""
         text = text or ""
         words = _WORD.findall(text.lower())
         distinct = set(words)
@@ -66,9 +75,13 @@ class Model:
             out += {self.prefixes[w[:PREFIX]] for w in distinct if len(w) > PREFIX and w[:PREFIX] in self.prefixes}
         base = len(lex) + len(self.prefixes)
         count = sum(1 for w in words if w in lex) if hits else 0
-        flags = (len(hits) > 0, len(hits) > 1, count > 3, not hits, 2 * sum(map(len, _CAPITALS.findall(text))) > len(text), len(words) > 20 and 4 * len(distinct) < len(words))
+        flags = (2 * sum(map(len, _CAPITALS.findall(text))) > len(text), len(words) > 20 and 4 * len(distinct) < len(words), len(hits) > 0, len(hits) > 1, count > 3, not hits)
         return out + [base + i for i, f in enumerate(flags) if f]
 
+    @property
+    def voters(self) -> int:
+        return len(self.lexicon) + len(self.prefixes) + len(PATTERNS)
+
     def score(self, text: str | None) -> float:
         z = self.bias + sum(self.weights[i] for i in self.votes(text)) if self.weights else self.bias
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -90,14 +103,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc: s
     return docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
 
 
-def _g2(a: int, b: int, pos: int, neg: int) -> float:
+def _g2(a: Column, b: Column, pos: int, neg: int) -> Column:
     """Likelihood ratio statistic of a word in a of pos and b of neg rows."""
 
-    def term(o: float, e: float) -> float:
-        return o * math.log(o / e) if o else 0.0
+    def term(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
 
-    share = (a + b) / (pos + neg)
-    return 2 * (term(a, pos * share) + term(b, neg * share) + term(pos - a, pos * (1 - share)) + term(neg - b, neg * (1 - share)))
+    share = (a + b) / F.lit(float(pos + neg))
+    return 2 * (term(a, share * pos) + term(b, share * neg) + term(F.lit(pos) - a, (1 - share) * pos) + term(F.lit(neg) - b, (1 - share) * neg))
 
 
 def mine(train: DataFrame, pos: int, neg: int) -> list[str]:
@@ -116,12 +129,12 @@ def mine(train: DataFrame, pos: int, neg: int) -> list[str]:
         .filter(F.col("a") >= MIN_SUPPORT)
     )
     counts = stored(counts, "word-counts")
-    tried = counts.count()
-    bar = 2 * math.log(max(tried, 2))
-    # The bar at its least favourable keeps what comes to the driver to words at least twice as common among toxic rows.
-    likely = counts.filter(F.col("a") * neg > 2 * F.col("b") * pos).orderBy(F.desc(F.col("a") / pos - F.col("b") / neg), "word").limit(20 * MAX_VOTERS)
-    tested = sorted(((_g2(r["a"], r["b"], pos, neg), r["word"]) for r in likely.collect()), reverse=True)
-    return [w for g, w in tested if g >= bar][:MAX_VOTERS]
+    bar = 2 * math.log(max(counts.count(), 2))
+    a, b = F.col("a"), F.col("b")
+    speaks = counts.withColumn("g", _g2(a, b, pos, neg)).filter((a * neg > b * pos) & (F.col("g") >= bar))
+    found = [r["word"] for r in speaks.orderBy(F.desc("g"), "word").limit(MAX_VOTERS).collect()]
+    discard(counts)
+    return found
 
 
 def vote_rows(train: DataFrame, model: Model) -> tuple[list[list[int]], np.ndarray]:
@@ -136,31 +149,90 @@ def vote_rows(train: DataFrame, model: Model) -> tuple[list[list[int]], np.ndarr
     return [list(v) for v in rows["votes"]], rows["toxic"].to_numpy(float)
 
 
-def label_model(fired: np.ndarray, prior: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of the toxic class from the votes, and each voter's weight share after its correlations.
-
-    EM over the voters' firing rates on either class, started from ``prior`` (the labels, softened). Correlations are
-    those left within the classes; a voter with correlated peers has its evidence divided among them.
-    """
-    post = prior.copy()
-    n, m = fired.shape
-    dense = fired.astype(np.float32)
-    for _ in range(rounds):
-        p, q = post.sum(), n - post.sum()
-        on = (post @ dense + 0.5 * dense.mean(0)) / (p + 0.5)
-        off = ((1 - post) @ dense + 0.5 * dense.mean(0)) / (q + 0.5)
-        on, off = np.clip(on, 1e-5, 1 - 1e-5), np.clip(off, 1e-5, 1 - 1e-5)
-        centred = dense - np.where(post[:, None] > 0.5, on, off).astype(np.float32)
-        scale = np.sqrt((centred**2).mean(0)) + 1e-6
-        rho = (centred / scale).T @ (centred / scale) / n
-        share = 1 / np.clip(np.where(np.abs(rho) > 0.15, np.abs(rho), 0).sum(0), 1, None)
-        logit = np.log((p + 1) / (q + 1)) + dense @ (share * np.log(on / off)) + (1 - dense) @ (share * np.log((1 - on) / (1 - off)))
-        votes_say = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        new = 0.5 * votes_say + 0.5 * prior  # a label is one more voter, right nine times in ten
-        if np.abs(new - post).max() < 1e-4:
+@dataclass
+class LabelModel:
+    """Rates of the voters on toxic and other rows, the share of toxic rows, and each voter's share of its evidence."""
+
+    on: np.ndarray
+    off: np.ndarray
+    prior: float
+    share: np.ndarray
+
+    def posterior(self, fired: np.ndarray) -> np.ndarray:
+        """Probability of the toxic class from a matrix of votes."""
+        x = fired.astype(np.float32)
+        yes, no = self.share * np.log(self.on / self.off), self.share * np.log((1 - self.on) / (1 - self.off))
+        z = math.log(self.prior / (1 - self.prior)) + x @ yes + (1 - x) @ no
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _rates(fired_on: np.ndarray, fired_off: np.ndarray, p: float, q: float, share: np.ndarray) -> LabelModel:
+    """Smoothed rates from how often voters fired on p toxic and q other rows."""
+    mean = (fired_on + fired_off) / (p + q)
+    on, off = ((f + 0.5 * mean) / (n + 0.5) for f, n in ((fired_on, p), (fired_off, q)))
+    return LabelModel(np.clip(on, 1e-5, 1 - 1e-5), np.clip(off, 1e-5, 1 - 1e-5), min(max(p / (p + q), 1e-4), 1 - 1e-4), share)
+
+
+def shared_evidence(fired: np.ndarray, y: np.ndarray, start: LabelModel) -> np.ndarray:
+    """One over the sum of a voter's correlations within the classes, its own included."""
+    rest = fired.astype(np.float32) - np.where(y[:, None] > 0.5, start.on, start.off).astype(np.float32)
+    rest /= np.sqrt((rest**2).mean(0)) + 1e-6
+    rho = np.abs(rest.T @ rest / len(rest))
+    return 1 / np.clip(np.where(rho > CORRELATED, rho, 0).sum(0), 1, None)
+
+
+def votes_of_all(docs: DataFrame, model: Model, text: str, doc: str) -> DataFrame:
+    """(votes, n) of all rows that are not held out: equal votes are one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                seen = Counter(tuple(sorted(v for v in model.votes(t) if v < model.voters)) for t in batch.column("text").slice(at, 1000).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
+
+    rows = docs.filter(~F.coalesce(held_out(F.col(f"`{doc}`")), F.lit(False))).select(F.col(f"`{text}`").alias("text"))
+    return stored(rows.mapInArrow(run, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")), "votes")
+
+
+def _expected(votes: DataFrame, rates: LabelModel, m: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """How often each voter fired on toxic and on other rows by the posteriors, and how many rows these are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on, off = np.zeros(m + 1), np.zeros(m + 1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                fired = np.zeros((part.num_rows, m + 1), bool)
+                fired[:, m] = True  # counts the rows
+                for i, v in enumerate(part.column("votes").to_pylist()):
+                    fired[i, v] = True
+                n = part.column("n").to_numpy(zero_copy_only=False)
+                post = rates.posterior(fired[:, :m])
+                on += (post * n) @ fired
+                off += ((1 - post) * n) @ fired
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m + 1), pa.int32()), pa.array(on), pa.array(off)], ["voter", "on", "off"])
+
+    sums = votes.mapInArrow(run, "voter int, on double, off double").groupBy("voter").agg(F.sum("on").alias("on"), F.sum("off").alias("off")).collect()
+    out = np.zeros((2, m + 1))
+    for r in sums:
+        out[:, r["voter"]] = r["on"], r["off"]
+    return out[0, :m], out[1, :m], out[0, m], out[1, m]
+
+
+def label_model(fired: np.ndarray, y: np.ndarray, votes: DataFrame) -> LabelModel:
+    """EM over the labelled rows (votes ``fired``, labels ``y``) and all others (``votes_of_all``)."""
+    m = fired.shape[1]
+    x = fired.astype(np.float32)
+    known = (y @ x, (1 - y) @ x, y.sum(), (1 - y).sum())
+    rates = _rates(*known, np.ones(m))
+    rates.share = shared_evidence(fired, y, rates)
+    for _ in range(STEPS):
+        new = _rates(*(a + b for a, b in zip(known, _expected(votes, rates, m), strict=True)), rates.share)
+        still = max(np.abs(new.on - rates.on).max(), np.abs(new.off - rates.off).max()) < STILL
+        rates = new
+        if still:
             break
-        post = new
-    return post, share
+    return rates
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) -> tuple[float, np.ndarray]:
@@ -184,22 +256,24 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) ->
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", max_rows: int = MAX_LABELLED) -> Model:
     train = stored(training_rows(docs, labels, text, doc, max_rows), "toxic-train")
     seen = {r["toxic"]: r["n"] for r in train.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    train = train.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+    train_ = train.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     pos, neg = seen.get(1, 0), seen.get(0, 0)
     if not pos or not neg:
         share = (pos + 0.5) / (pos + neg + 1) if pos + neg else 0.0
         return Model(bias=math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    lexicon = mine(train, pos, neg)
+    lexicon = mine(train_, pos, neg)
     heads = Counter(w[:PREFIX] for w in lexicon if len(w) > PREFIX)
     prefixes = sorted(h for h, k in heads.items() if k > 2)
     model = Model(lexicon={w: i for i, w in enumerate(lexicon)}, prefixes={h: len(lexicon) + i for i, h in enumerate(prefixes)})
-    votes, y = vote_rows(train, model)
-    fired = np.zeros((len(votes), len(lexicon) + len(prefixes) + len(PATTERNS)), bool)
-    for i, v in enumerate(votes):
+    cast, y = vote_rows(train_, model)
+    fired = np.zeros((len(cast), model.voters + len(DERIVED)), bool)
+    for i, v in enumerate(cast):
         fired[i, v] = True
-    post, _ = label_model(fired, 0.05 + 0.9 * y)
-    bias, weights = logistic(fired.astype(float), post)
+    votes = votes_of_all(docs, model, text, doc)
+    rates = label_model(fired[:, : model.voters], y, votes)
+    bias, weights = logistic(fired.astype(float), rates.posterior(fired[:, : model.voters]))
     model.bias, model.weights = bias, weights.tolist()
+    discard(train, votes)
     return model
 
 
