@@ -1,10 +1,14 @@
 """HTML extraction by tree scoring.
 
-Each page is parsed into a tree (a small forgiving parser over one regular expression), parts that are furniture by
-element, role, class or id are cut off, and paragraphs pass points for their length and commas to their ancestors:
-all to the parent, half to the grandparent, and a third of that per further level. An ancestor's points are
-discounted by its link density. The best container and those of its siblings that score well, too, are kept; where it
-lies inside an ``article`` or ``main`` element, that whole element is.
+Each page is parsed into a tree (a small forgiving parser over one regular expression). Elements that never hold an
+article's text (menus, forms, scripts, ...) are cut off by name or role. Paragraphs pass points for their length and
+commas to their ancestors: all to the parent, half to the grandparent, and to each further ancestor a third of what the
+one below it gets. Points are discounted by link density. The container with most points is kept, with those of its
+siblings that have a fifth of its points or are text like it; where it lies inside an ``article`` or ``main`` element,
+that element is the container. Inside what is kept, lists and sections that are mostly links go.
+
+Names in class and id are evidence, not verdicts: a block whose names mark it as furniture goes unless it holds at
+least half of the page's paragraph points; one that is named for readers' comments goes unless the article is in it.
 
 A text block is what stands between block-level elements: references decoded, white space runs (line breaks
 included) one space, ends trimmed. Blocks are joined by one line feed.
@@ -12,7 +16,7 @@ included) one space, ends trimmed. Blocks are joined by one line feed.
 Rows are independent, so pages stream through ``mapInArrow`` without a shuffle; memory is one Arrow batch.
 
 Defined results: a null or empty page has the empty text; a page without tags is one block; a page without any scored
-paragraph gives its ``article``, ``main`` or ``body`` text; unclosed elements end with the page; further columns stay.
+paragraph gives its ``article``, ``main`` or ``body`` text (or all of it); unclosed elements end with the page; further columns stay.
 """
 
 from __future__ import annotations
@@ -50,7 +54,13 @@ WORDS = frozenset(
     " share sharing social related recommended recommendations newsletter subscribe subscription signup login search form".split()
 )
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MIN_PARAGRAPH = 25
+#: Text of its own that makes a paragraph of another block element.
+MIN_BLOCK = 100
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion feedback".split())
+#: Blocks that go from what is kept when half their text is links.
+LISTS = frozenset("ul ol dl div section table center details figure".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -62,11 +72,16 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("commas", "kids", "length", "links", "marks", "parent", "score", "tag")
+    __slots__ = ("commas", "far", "inside", "kids", "length", "links", "marks", "near", "next", "own", "parent", "score", "tag")
 
     def __init__(self, tag: str, parent: Node | None, marks: str = ""):
         self.tag, self.parent, self.marks, self.kids = tag, parent, marks, []
-        self.score, self.length, self.links, self.commas = 0.0, 0, 0, 0
+        self.clear()
+
+    def clear(self) -> None:
+        """Text lengths, and points: of its own, of its children, grandchildren, all below those; and of all in it."""
+        self.length, self.links, self.commas = 0, 0, 0
+        self.score = self.own = self.near = self.next = self.far = self.inside = 0.0
 
 
 def parse(html: str) -> Node:
@@ -120,23 +135,28 @@ def _close(here: Node, tag: str, scope: frozenset = SCOPE) -> Node:
     return node.parent if node.tag == tag and node.parent else here
 
 
-def _is_furniture(node: Node) -> bool:
+def _is_furniture(node: Node, points: float) -> bool:
+    """Whether a node goes, on a page with so many paragraph points."""
     if node.tag in FURNITURE:
         return True
-    if not node.marks or node.tag in ("html", "body", "main"):
+    if not node.marks or node.tag in ("html", "body", "main", "article"):
         return False
     for m in ATTR.finditer(node.marks):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value.strip() in ROLES:
                 return True
-        elif not WORDS.isdisjoint(SPLIT.split(value)):
-            return not _holds_article(node) or bool({"comment", "comments", "reply"} & set(SPLIT.split(value)))
+            continue
+        names = set(SPLIT.split(value))
+        if not COMMENTS.isdisjoint(names) and not _holds_article(node):
+            return True
+        if not WORDS.isdisjoint(names) and (not node.inside or 2 * node.inside < points) and not _holds_article(node):
+            return True
     return False
 
 
 def _holds_article(node: Node) -> bool:
-    """An article or main in or at it: then its class speaks of a layout, not of furniture."""
+    """An article or main in it: then its class speaks of a layout, not of furniture."""
     todo = [node]
     while todo:
         x = todo.pop()
@@ -147,11 +167,15 @@ def _holds_article(node: Node) -> bool:
 
 
 def prune(root: Node) -> None:
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        node.kids = [k for k in node.kids if isinstance(k, str) or not _is_furniture(k)]
-        todo += [k for k in node.kids if not isinstance(k, str)]
+    """Cut furniture: first by element and role, then, when points are known without those, by names."""
+    for by_name in (False, True):
+        if by_name:
+            score(_order(root))
+        todo, points = [root], root.inside
+        while todo:
+            node = todo.pop()
+            node.kids = [k for k in node.kids if isinstance(k, str) or not (_is_furniture(k, points) if by_name else k.tag in FURNITURE)]
+            todo += [k for k in node.kids if not isinstance(k, str)]
 
 
 def _order(root: Node) -> list[Node]:
@@ -163,28 +187,27 @@ def _order(root: Node) -> list[Node]:
 
 
 def score(nodes: list[Node]) -> None:
+    for node in nodes:
+        node.clear()
     for node in reversed(nodes):
-        own = [" ".join(k.split()) for k in node.kids if isinstance(k, str)]
-        direct = sum(map(len, own))
+        texts = [" ".join(k.split()) for k in node.kids if isinstance(k, str)]
+        direct = sum(map(len, texts))
         node.length += direct
-        node.commas += sum(s.count(",") + s.count("،") + s.count("，") for s in own)
+        node.commas += sum(t.count(",") + t.count("،") + t.count("，") for t in texts)
         if node.tag == "a":
             node.links = node.length
-        is_paragraph = node.tag in PARAGRAPHS or node.tag in ("div", "section", "article", "main", "body") and direct >= MIN_PARAGRAPH
-        if is_paragraph and node.length >= MIN_PARAGRAPH:
-            points = 1 + node.commas + min(node.length / 100, 3)
-            if node.tag not in PARAGRAPHS:
-                node.score += points
-            up, share, level = node.parent, 1.0, 0
-            while up and level < 5:
-                up.score += points * share
-                level += 1
-                share = 0.5 if level == 1 else 0.5 / (3 * (level - 1))
-                up = up.parent
-        if node.parent:
-            node.parent.length += node.length
-            node.parent.links += node.links
-            node.parent.commas += node.commas
+        if node.length >= MIN_PARAGRAPH and (node.tag in PARAGRAPHS or node.tag in ("div", "section", "article", "main", "body") and direct >= MIN_BLOCK):
+            node.own = (1 + node.commas + min(node.length / 100, 3)) * (1 - _density(node))
+        node.inside += node.own
+        node.score = (0.0 if node.tag in PARAGRAPHS else node.own) + node.near + node.next / 2 + node.far
+        if up := node.parent:
+            up.length += node.length
+            up.links += node.links
+            up.commas += node.commas
+            up.inside += node.inside
+            up.near += node.own
+            up.next += node.near
+            up.far += (node.next / 2 + node.far) / 3
     for node in nodes:
         node.score *= 1 - _density(node)
 
@@ -193,32 +216,40 @@ def _density(node: Node) -> float:
     return min(node.links / node.length, 1.0) if node.length else 0.0
 
 
-def _kept(root: Node, nodes: list[Node]) -> list[Node]:
-    best = max((n for n in nodes if n.parent and n.tag not in ("html", "p", "a", "span")), key=lambda n: n.score, default=root)
+def _kept(nodes: list[Node]) -> list[Node]:
+    best = max((n for n in nodes if n.parent and n.tag not in ("html", "p", "a", "span")), key=lambda n: n.score, default=nodes[0])
     if not best.score:
-        found = next((n for tag in ("article", "main", "body") for n in nodes if n.tag == tag), root)
-        return [found]
-    up = best
-    while up.parent:
-        if up.tag in ("article", "main"):
+        return [next((n for tag in ("article", "main", "body") for n in nodes if n.tag == tag), nodes[0])]
+    up: Node | None = best
+    while up:
+        if up.tag in ("article", "main") and _density(up) < 0.5:
             return [up]
         up = up.parent
     if not best.parent or best.tag == "body":
         return [best]
-    least = max(10.0, 0.2 * best.score)
-    keep = []
+    out: list[Node] = []
+    heads: list[Node] = []
     for k in best.parent.kids:
         if isinstance(k, str):
             continue
-        if (
-            k is best
-            or k.score >= least
-            or k.tag == "h1"
-            or k.tag in PARAGRAPHS and (k.length > 80 and _density(k) < 0.25 or 0 < k.length <= 80 and not k.links)
-            or k.tag in ("h2", "h3", "h4", "h5", "h6", "div", "section") and k.length and _density(k) < 0.25 and k.score > 0
-        ):
-            keep.append(k)
-    return keep
+        like = k.tag in PARAGRAPHS and not k.links and (k.length > 80 or k.length >= MIN_PARAGRAPH and k.own > 1) or k.tag in PARAGRAPHS and k.length > 80 and _density(k) < 0.25
+        if k is best or k.score >= 0.2 * best.score or like:
+            out += [*heads, k]
+            heads = []
+        elif k.tag in HEADINGS and not k.links:
+            heads.append(k)  # kept if what it heads is
+        else:
+            heads = []
+    return out
+
+
+def _without_links(node: Node) -> None:
+    """Lists and sections inside it that are mostly links go."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        x.kids = [k for k in x.kids if isinstance(k, str) or not (k.tag in LISTS and k.links and _density(k) >= 0.5)]
+        todo += [k for k in x.kids if not isinstance(k, str)]
 
 
 def blocks(node: Node) -> list[str]:
@@ -258,7 +289,10 @@ def extract(html: str | None) -> str:
     prune(root)
     nodes = _order(root)
     score(nodes)
-    return "\n".join(b for node in _kept(root, nodes) for b in blocks(node))
+    kept = _kept(nodes)
+    for node in kept:
+        _without_links(node)
+    return "\n".join(b for node in kept for b in blocks(node))
 
 
 def extract_pages(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
