@@ -14,8 +14,10 @@ reversibly: ``<|`` with k backslashes between becomes the same with k + 1. Roles
 escaped besides. The loss mask is a list of code point spans over the formatted text: the texts of the assistant.
 
 Defined results: null texts and roles are empty; rows without a tree are one tree; a message whose parent is missing is a root; messages on or below a
-cycle have no root and are left out; messages that repeat an id are ordered by role and text and hang one below the
-other; ties of score go to the longer, then to the lower leaf; empty tables give empty tables.
+cycle have no root and are left out; messages that repeat an id are ordered by role, text and score and hang one below
+the other, so the first answers their parents' message and replies to the id answer the last (where they name several
+parents, the first's counts); null scores count 0; ties of score go to the longer, then to the lower leaf; empty tables
+give empty tables.
 """
 
 from __future__ import annotations
@@ -113,9 +115,10 @@ def choose_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     for k in reversed(range(len(tables) - 1)):
         up = tables[k].filter(F.col("anc").isNotNull()).select("tree", "id", "anc")
         further = path.join(up, ["tree", "id"]).select("tree", "leaf", "rank", F.col("anc").alias("id"), (F.col("back") + 2**k).alias("back"))
-        path = path.unionByName(further)
-        path = stored(path, "path")
-    out = stored(path, "path")
+        longer = stored(path.unionByName(further), "path")
+        discard(path)
+        path = longer
+    out = path if hasattr(path, "_strophe_path") else stored(path, "path")
     discard(*tables)
     return out
 
@@ -136,15 +139,32 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("tree", "leaf", "rank")], pa.array(texts, pa.string()), pa.array(spans, kind)], ["tree", "leaf", "rank", "formatted", "loss"])
 
 
-def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
-    """Formatted conversations with their loss spans. ``messages``: tree, id, parent, score, role, text."""
+def _chained(messages: DataFrame) -> DataFrame:
+    """Messages whose ids are unique in their tree: (id, nth), those of one id one below the other."""
+    same = Window.partitionBy("tree", "id").orderBy("role", "text", "score")
+    rows = messages.withColumns({"nth": F.row_number().over(same), "own": F.first("parent").over(same)})
+    last = rows.groupBy("tree", "id").agg(F.max("nth").alias("last")).select("tree", F.col("id").alias("own"), "last")
+    key = lambda i, n: F.struct(i.alias("id"), n.cast("int").alias("nth"))
+    above = F.when(F.col("nth") > 1, key(F.col("id"), F.col("nth") - 1)).when(F.col("own").isNotNull(), key(F.col("own"), F.coalesce("last", F.lit(0))))
+    return rows.join(last, ["tree", "own"], "left").select("tree", key(F.col("id"), F.col("nth")).alias("id"), above.alias("parent"), "score", "role", "text")
+
+
+def format_trees(messages: DataFrame, top: int = 1, unique: bool = False) -> DataFrame:
+    """Formatted conversations with their loss spans. ``messages``: tree, id, parent, score, role, text; ``unique`` says
+    that no tree has an id twice."""
     # A null tree is one, too, but would not join.
-    messages = messages.withColumn("tree", F.coalesce(F.concat(F.lit("t"), F.col("tree").cast("string")), F.lit("null")))
+    messages = messages.select(
+        F.coalesce(F.concat(F.lit("t"), F.col("tree").cast("string")), F.lit("null")).alias("tree"), "id", "parent", F.coalesce("score", F.lit(0)).alias("score"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    if not unique:
+        messages = stored(_chained(messages), "messages")
     path = choose_paths(messages.select("tree", "id", "parent", "score"), top)
     turns = path.join(messages.select("tree", "id", "role", "text"), ["tree", "id"])
     rows = turns.groupBy("tree", "leaf", "rank").agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")
     )
+    rows = rows.withColumn("leaf", F.col("leaf") if unique else F.col("leaf.id"))
     return rows.mapInArrow(_format, _FORMATTED).withColumn("tree", F.when(F.col("tree") != "null", F.expr("CAST(substring(tree, 2) AS BIGINT)")))
 
 
@@ -182,7 +202,7 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("x"),
     )
     extra = extra.select("conv_id", "x.turn", "x.role", F.lit(CONTROL).alias("text"))
-    return format_trees(conversations(given.unionByName(extra))).mapInArrow(_read_back, _READ)
+    return format_trees(conversations(given.unionByName(extra)), unique=True).mapInArrow(_read_back, _READ)
 
 
 SQL = r"""
