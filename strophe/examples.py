@@ -16,7 +16,7 @@ from strophe.functions import match, model, text
 from strophe.operators import clean, detect
 from strophe.plans import convert, generate
 from strophe.schemas import LINE, SYLLABLE, explode_lines
-from strophe.sources import catalogs, containers, json_dialects, lrc, syllabic, ttml
+from strophe.sources import catalogs, containers, json_dialects, lrc, providers, syllabic, ttml
 
 _LINES = f"array<{LINE}>"
 
@@ -568,7 +568,7 @@ def failed_answers(spark, sf_dir):
 @query(
     "SELECT p_partkey, CASE WHEN c >= 1000 THEN 100 WHEN c >= 950 THEN 99 WHEN c >= 900 THEN 95 WHEN c >= 750 THEN 90 WHEN c >= 600 THEN 70 WHEN c >= 400 THEN 30 WHEN c >= 200 THEN 10 ELSE -1 END AS confidence, "
     "p_brand AS artist, p_name AS track, string_split(p_name, ' ')[-1] AS last_artist, string_split(p_name, ' ')[1] AS last_track, 'Alone' AS lone_track, '' AS lone_artist, "
-    "'https://lrclib.net/api/search?track_name=' || replace(p_name, ' ', '+') || '&artist_name=' || replace(p_brand, '#', '%23') AS url, p_name || '词' AS kugou, p_name AS plain, '[0,10]word(0,10)' AS coded FROM (SELECT *, p_size * 20 AS c FROM part)"
+    "'https://lrclib.net/api/search?track_name=' || replace(p_name, ' ', '+') || '&artist_name=' || replace(p_brand, '#', '%23') AS url, p_name || '词' AS kugou, CAST(NULL AS VARCHAR) AS plain, '[0,10]word(0,10)' AS coded FROM (SELECT *, p_size * 20 AS c FROM part)"
 )
 def provider_helpers(spark, sf_dir):
     dashed, bare, lone = (catalogs.musixmatch_query(_doc(t)) for t in ("@p_brand@ - @p_name@", "@p_name@", "Alone"))
@@ -577,3 +577,27 @@ def provider_helpers(spark, sf_dir):
         lone["track"].alias("lone_track"), lone["artist"].alias("lone_artist"), catalogs.lrclib_url(F.col("p_name"), F.col("p_brand")).alias("url"), catalogs.kugou_lyric(F.base64(_doc("@p_name@词").cast("binary"))).alias("kugou"),
         catalogs.qq_lyric(F.col("p_name"), F.lit(0), F.lit(0)).alias("plain"), catalogs.qq_lyric(F.concat(F.lit(_QRC_HEX), F.substring("p_name", 1, 0)), F.lit(0), F.lit(1)).alias("coded"),
     )
+
+
+_ENCODED = "replace(replace(p_name, ' ', '%20') || '%20' || p_brand, '#', '%23')"
+
+
+@query(
+    "SELECT p_partkey, 'https://music.163.com/api/search/get?s=' || " + _ENCODED + " || '&type=1&limit=10&offset=0' AS netease, 'https://music.163.com/' AS referer, "
+    "'https://lrclib.net/api/get?track_name=' || replace(p_name, ' ', '%20') || '&artist_name=' || replace(p_brand, '#', '%23') || '&duration=' || p_size || '.0' AS exact, "
+    "'https://lrclib.net/api/search?track_name=' || " + _ENCODED + " AS free, 'https://lrclib.net/api/get/' || p_partkey AS by_id, "
+    "'https://apic-desktop.musixmatch.com/ws/1.1/matcher.track.get?app_id=web-desktop-app-v1.0&usertoken=T&q_track=' || replace(p_name, ' ', '%20') || '&q_artist=' || replace(p_brand, '#', '%23') AS matcher, "
+    "'POST' AS method, p_name AS asked, 'a=' || replace(p_name, ' ', '+') || '&b=%2F' AS form, 'L' || p_size AS lyric, CAST(NULL AS VARCHAR) AS translated, "
+    "'http://lyrics.kugou.com/download?ver=1&client=pc&id=' || p_partkey || '&accesskey=K&fmt=lrc&charset=utf8' AS download FROM part"
+)
+def provider_requests(spark, sf_dir):
+    text_ = _doc("@p_name@ @p_brand@")
+    tries = providers.lrclib_track(F.col("p_name"), F.col("p_brand"), F.lit(None).cast("string"), F.col("p_size") * 1000)
+    pair = providers.netease_pair(_doc('{"lrc":{"lyric":"L@p_size@"},"tlyric":{}}'))
+    qq = providers.qq_music(F.col("p_name"))
+    return _parts(spark, sf_dir).select(
+        "p_partkey", providers.netease(text_)["url"].alias("netease"), providers.netease(text_)["headers"]["Referer"].alias("referer"), F.get(tries, F.lit(0))["url"].alias("exact"), F.get(tries, F.lit(2))["url"].alias("free"),
+        providers.lrclib_by_id(F.col("p_partkey"))["url"].alias("by_id"), providers.musixmatch(_doc("@p_brand@ - @p_name@"), token="T")["url"].alias("matcher"), qq["method"].alias("method"),
+        F.get_json_object(qq["body"], "$.req_1.param.query").alias("asked"), providers.form_body({"a": F.col("p_name"), "b": F.lit("/")}).alias("form"), pair["lyric"].alias("lyric"), pair["translated"].alias("translated"),
+        providers.kugou_download(_doc('{"candidates":[{"id":"@p_partkey@","accesskey":"K"},{"id":"x","accesskey":"y"}]}'))["url"].alias("download"),
+    )

@@ -1,6 +1,6 @@
 """Candidates from captured answers of eight catalogues: JSON in, rows in the catalogue form out.
 
-Live requests are out of scope; an adapter reads the body of an answer. All give: provider, query, cand_no, id,
+An adapter reads the body of an answer; ``providers`` sends the requests. All give: provider, query, cand_no, id,
 numeric_id, title, artists, album, album_artists, duration_ms.
 """
 
@@ -138,6 +138,6 @@ def kugou_lyric(content: Column) -> Column:
 
 
 def qq_lyric(lyric: Column, qrc_t: Column, lrc_t: Column) -> Column:
-    """A lyric, decoded if its type flag says it is encrypted."""
+    """A lyric decoded where its type flag says it is encrypted; others, empty ones too, are null."""
     flag = F.coalesce(F.nullif(qrc_t, F.lit(0)), lrc_t)
-    return F.when(F.coalesce(flag, F.lit(0)) != 0, decode_qrc(lyric)).otherwise(lyric)
+    return F.when((F.coalesce(flag, F.lit(0)) != 0) & (lyric != ""), decode_qrc(lyric))
