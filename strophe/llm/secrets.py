@@ -169,7 +169,9 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:
     """The forest over at most MAX_FINDINGS labelled findings; in one partition, so that it is the same each time."""
-    rows = features(findings.limit(MAX_FINDINGS).coalesce(1)).select(*FEATURES, "label")
+    # Which of more findings are taken is fixed by their content.
+    taken = findings.orderBy(F.xxhash64("candidate", "left", "right", "path"), "candidate", "left", "right", "path", "label").limit(MAX_FINDINGS)
+    rows = features(taken.coalesce(1)).select(*FEATURES, "label")
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=4, featureSubsetStrategy="0.5").fit(assembled)
 
