@@ -46,14 +46,23 @@ def stored(df: DataFrame, label: str, path: str | None = None, by: str | None =
         (df.write.partitionBy(by) if by else df.write).mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strophe_path = path  # for discard()
-    for made in _SCRATCH:
+    for made in (_MADE, *_SCRATCH):
         made.append(path)
     return out
 
 
+#: Stored tables of this process, and of each open ``scratch``.
+_MADE: list[str] = []
 _SCRATCH: list[list[str]] = []
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all stored tables of this process. Results that are read lazily need theirs, so call it when they are done."""
+    for path in _MADE:
+        delete(spark, path)
+    _MADE.clear()
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Delete what was stored inside, but for the paths taken out of the list it gives."""
@@ -80,6 +89,8 @@ def discard(*frames_or_paths) -> None:
         spark = SparkSession.getActiveSession() if isinstance(x, str) else x.sparkSession
         if path and spark:
             delete(spark, path)
+            if path in _MADE:
+                _MADE.remove(path)
 
 
 @contextmanager
