@@ -137,16 +137,20 @@ def mine(train: DataFrame, pos: int, neg: int) -> list[str]:
     return found
 
 
-def vote_rows(train: DataFrame, model: Model) -> tuple[list[list[int]], np.ndarray]:
-    """Votes and labels of the training rows, on the driver: bounded by MAX_LABELLED."""
+def vote_rows(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct votes of the training rows (a row of flags each), with how many toxic and how many other rows cast them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [model.votes(t) for t in batch.column("text").to_pylist()]
+            votes = [sorted(model.votes(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int32())), batch.column("toxic")], ["votes", "toxic"])
 
-    rows = train.mapInArrow(run, "votes array<int>, toxic int").toPandas()
-    return [list(v) for v in rows["votes"]], rows["toxic"].to_numpy(float)
+    cast = train.mapInArrow(run, "votes array<int>, toxic int").groupBy("votes").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    rows = cast.orderBy("votes").collect()  # at most MAX_LABELLED
+    fired = np.zeros((len(rows), model.voters + len(DERIVED)), bool)
+    for i, r in enumerate(rows):
+        fired[i, r["votes"]] = True
+    return fired, np.array([r["a"] for r in rows], float), np.array([r["b"] for r in rows], float)
 
 
 @dataclass
@@ -173,11 +177,15 @@ def _rates(fired_on: np.ndarray, fired_off: np.ndarray, p: float, q: float, shar
     return LabelModel(np.clip(on, 1e-5, 1 - 1e-5), np.clip(off, 1e-5, 1 - 1e-5), min(max(p / (p + q), 1e-4), 1 - 1e-4), share)
 
 
-def shared_evidence(fired: np.ndarray, y: np.ndarray, start: LabelModel) -> np.ndarray:
-    """One over the sum of a voter's correlations within the classes, its own included."""
-    rest = fired.astype(np.float32) - np.where(y[:, None] > 0.5, start.on, start.off).astype(np.float32)
-    rest /= np.sqrt((rest**2).mean(0)) + 1e-6
-    rho = np.abs(rest.T @ rest / len(rest))
+def shared_evidence(fired: np.ndarray, a: np.ndarray, b: np.ndarray, start: LabelModel) -> np.ndarray:
+    """One over the sum of a voter's correlations within the classes, its own included; ``a`` toxic and ``b`` other rows
+    cast the votes of each row of ``fired``."""
+    together = np.zeros((fired.shape[1], fired.shape[1]))
+    for rates, n in ((start.on, a), (start.off, b)):
+        rest = fired - rates
+        together += (rest * n[:, None]).T @ rest
+    scale = np.sqrt(np.diag(together)) + 1e-6
+    rho = np.abs(together / scale / scale[:, None])
     return 1 / np.clip(np.where(rho > CORRELATED, rho, 0).sum(0), 1, None)
 
 
@@ -219,15 +227,14 @@ def _expected(votes: DataFrame, rates: LabelModel, m: int) -> tuple[np.ndarray,
     return out[0, :m], out[1, :m], out[0, m], out[1, m]
 
 
-def label_model(fired: np.ndarray, y: np.ndarray, votes: DataFrame) -> LabelModel:
-    """EM over the labelled rows (votes ``fired``, labels ``y``) and all others (``votes_of_all``)."""
+def label_model(fired: np.ndarray, a: np.ndarray, b: np.ndarray, votes: DataFrame) -> LabelModel:
+    """EM over the labelled rows (votes ``fired`` of ``a`` toxic and ``b`` other rows) and all others (``votes_of_all``)."""
     m = fired.shape[1]
-    x = fired.astype(np.float32)
-    known = (y @ x, (1 - y) @ x, y.sum(), (1 - y).sum())
+    known = (a @ fired, b @ fired, a.sum(), b.sum())
     rates = _rates(*known, np.ones(m))
-    rates.share = shared_evidence(fired, y, rates)
+    rates.share = shared_evidence(fired, a, b, rates)
     for _ in range(STEPS):
-        new = _rates(*(a + b for a, b in zip(known, _expected(votes, rates, m), strict=True)), rates.share)
+        new = _rates(*(k + e for k, e in zip(known, _expected(votes, rates, m), strict=True)), rates.share)
         still = max(np.abs(new.on - rates.on).max(), np.abs(new.off - rates.off).max()) < STILL
         rates = new
         if still:
@@ -235,8 +242,8 @@ def label_model(fired: np.ndarray, y: np.ndarray, votes: DataFrame) -> LabelMode
     return rates
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) -> tuple[float, np.ndarray]:
-    """Regularised logistic regression on soft labels by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, l2: float = 1.0, steps: int = 30) -> tuple[float, np.ndarray]:
+    """Regularised logistic regression on soft labels ``y`` of rows that count ``n`` times, by Newton steps."""
     xb = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(xb.shape[1])
     penalty = np.full(len(w), l2)
@@ -244,8 +251,8 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) ->
     for _ in range(steps):
         z = np.clip(xb @ w, -30, 30)
         p = 1 / (1 + np.exp(-z))
-        grad = xb.T @ (p - y) + penalty * w
-        hess = (xb * (p * (1 - p) + 1e-6)[:, None]).T @ xb + np.diag(penalty)
+        grad = xb.T @ (n * (p - y)) + penalty * w
+        hess = (xb * (n * (p * (1 - p) + 1e-6))[:, None]).T @ xb + np.diag(penalty)
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -265,13 +272,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_
     heads = Counter(w[:PREFIX] for w in lexicon if len(w) > PREFIX)
     prefixes = sorted(h for h, k in heads.items() if k > 2)
     model = Model(lexicon={w: i for i, w in enumerate(lexicon)}, prefixes={h: len(lexicon) + i for i, h in enumerate(prefixes)})
-    cast, y = vote_rows(train_, model)
-    fired = np.zeros((len(cast), model.voters + len(DERIVED)), bool)
-    for i, v in enumerate(cast):
-        fired[i, v] = True
+    fired, a, b = vote_rows(train_, model)
     votes = votes_of_all(docs, model, text, doc)
-    rates = label_model(fired[:, : model.voters], y, votes)
-    bias, weights = logistic(fired.astype(float), rates.posterior(fired[:, : model.voters]))
+    rates = label_model(fired[:, : model.voters], a, b, votes)
+    bias, weights = logistic(fired, rates.posterior(fired[:, : model.voters]), a + b)
     model.bias, model.weights = bias, weights.tolist()
     discard(train, votes)
     return model

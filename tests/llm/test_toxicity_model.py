@@ -38,7 +38,7 @@ def test_rates_are_found_without_a_rows_own_label(spark):
     y = rng.random(n) < 0.1
     fired = rng.random((n, 4)) < np.where(y[:, None], on, off)
     votes = spark.createDataFrame([([int(v) for v in np.flatnonzero(f)], 1) for f in fired[2000:]], "votes array<int>, n long").groupBy("votes").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
-    rates = toxicity.label_model(fired[:2000], y[:2000].astype(float), votes)
+    rates = toxicity.label_model(fired[:2000], y[:2000].astype(float), 1.0 - y[:2000], votes)
     assert np.allclose(rates.on, on, atol=0.05) and np.allclose(rates.off, off, atol=0.02) and abs(rates.prior - 0.1) < 0.02
     assert np.allclose(rates.share, 1)
     assert ((rates.posterior(fired) > 0.5) == y).mean() > 0.94
@@ -50,4 +50,4 @@ def test_copies_of_a_voter_share_their_evidence():
     one = rng.random(4000) < np.where(y > 0, 0.6, 0.05)
     fired = np.stack([one, one, one, rng.random(4000) < np.where(y > 0, 0.4, 0.05)], 1)
     start = toxicity._rates(y @ fired, (1 - y) @ fired, y.sum(), (1 - y).sum(), np.ones(4))
-    assert toxicity.shared_evidence(fired, y, start) == pytest.approx([1 / 3, 1 / 3, 1 / 3, 1], rel=0.01)
+    assert toxicity.shared_evidence(fired, y, 1 - y, start) == pytest.approx([1 / 3, 1 / 3, 1 / 3, 1], rel=0.01)
