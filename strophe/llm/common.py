@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,6 +110,20 @@ def session_conf(spark: SparkSession, conf: dict[str, str]):
                 spark.conf.set(k, v)
 
 
+#: What operators keep between tasks of a Python worker, and how it is dropped.
+WORKER_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def only(operator: str) -> None:
+    """At the start of a Python task: workers are reused, so what other operators keep in this one goes."""
+    import pyarrow as pa
+
+    for name, drop in WORKER_CACHES.items():
+        if name != operator:
+            drop()
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; all-ASCII texts take the fast path."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import delete, discard, new_path, plan_row, stored, table
+from strophe.llm.common import delete, discard, new_path, only, plan_row, stored, table
 
 UNIT = 576
 FILL = 255
@@ -132,6 +132,7 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("media")
         for batch in batches:
             for at, texts in _batches(batch.column("text")):
                 files = [to_wav(payload(t)) for t in texts]
@@ -209,6 +210,7 @@ def read_back(table_: DataFrame, slice_: Column | None = None) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("media")
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)

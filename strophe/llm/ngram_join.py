@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import content_key, discard, session_conf, stored, table
+from strophe.llm.common import content_key, discard, only, session_conf, stored, table
 from strophe.llm.components import components
 from strophe.llm.wordhash import mix, shingle_sets
 
@@ -122,6 +122,7 @@ def describe(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
     """(rid, doc_id, n, sig) for each row; sig is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram_join")
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -139,6 +140,7 @@ def publish(docs: DataFrame, k: int, p: int, q: int, text: str = "text") -> Data
     """(key, sig) for each block of each class, about once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram_join")
         seen: set[int] = set()
         sizes: dict[int, list] = {}
         for batch in batches:
@@ -162,6 +164,7 @@ def verify(pairs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """The pairs (a, ta, b, tb) whose texts' sets are similar: (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram_join")
         known: OrderedDict[int, np.ndarray] = OrderedDict()
 
         def sets(sigs: list[int], texts: pa.Array) -> list[np.ndarray]:
@@ -196,6 +199,7 @@ def sketches(texts: DataFrame, k: int) -> DataFrame:
     """(sig, sketch): SKETCH parity bits of each class; each shingle flips one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram_join")
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -217,6 +221,7 @@ def _near(tiles: DataFrame, p: int, q: int, quota: int) -> DataFrame:
         return sig, n, label, np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram_join")
         for batch in batches:
             for i in range(batch.num_rows):
                 sa, na, la, xa = tile(batch.column("x")[i].as_py())
@@ -375,6 +380,7 @@ def _compared(label: DataFrame, texts: DataFrame, stats: DataFrame, k: int) -> D
     """Blocks of two tiles of the classes (sig, copies, u: the bytes of its set) of each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram_join")
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -394,6 +400,7 @@ def _over_blocks(blocks: DataFrame, p: int, q: int, pairs: bool) -> DataFrame:
     names = ["a", "b"] if pairs else ["sig", "others"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram_join")
         for batch in batches:
             for i in range(batch.num_rows):
                 x, y = batch.column("x")[i].as_py(), batch.column("y")[i].as_py()

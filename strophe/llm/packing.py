@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import plan_row, stored, table
+from strophe.llm.common import WORKER_CACHES, only, plan_row, stored, table
 
 LENGTH = 2048
 END_ID = 1
@@ -44,6 +44,7 @@ GAP = 1e-3
 _EPS = 1e-9
 
 _ENCODERS: dict = {}
+WORKER_CACHES["packing"] = _ENCODERS.clear
 
 
 def tokenizer_path() -> str:
@@ -67,6 +68,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("packing")
         encode = _encoder(path).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -340,6 +342,7 @@ def pack(found: DataFrame, length: int = LENGTH) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("slots")
         size, low, _, copies, first, at = table_.T
         step = np.int64(1) << np.int64(48)
         bounds = size * step + low

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import discard, stored, table
+from strophe.llm.common import discard, only, stored, table
 
 #: Labelled rows used for fitting, at most.
 MAX_LABELLED = 40_000
@@ -141,6 +141,7 @@ def vote_rows(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, n
     """Distinct votes of the training rows (a row of flags each), with how many toxic and how many other rows cast them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         for batch in batches:
             votes = [sorted(model.votes(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int32())), batch.column("toxic")], ["votes", "toxic"])
@@ -193,6 +194,7 @@ def votes_of_all(docs: DataFrame, model: Model, text: str, doc: str) -> DataFram
     """(votes, n) of all rows that are not held out: equal votes are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 seen = Counter(tuple(sorted(v for v in model.votes(t) if v < model.voters)) for t in batch.column("text").slice(at, 1000).to_pylist())
@@ -206,6 +208,7 @@ def _expected(votes: DataFrame, rates: LabelModel, m: int) -> tuple[np.ndarray,
     """How often each voter fired on toxic and on other rows by the posteriors, and how many rows these are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         on, off = np.zeros(m + 1), np.zeros(m + 1)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -289,6 +292,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     names = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

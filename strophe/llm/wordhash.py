@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from strophe.llm.common import WORKER_CACHES
+
 BLOCK = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -32,6 +34,7 @@ def _powers(base: int) -> np.ndarray:
 
 
 _TABLES: dict[str, np.ndarray] = {}
+WORKER_CACHES["ngram_join"] = _TABLES.clear
 
 
 def _tables() -> dict[str, np.ndarray]:
