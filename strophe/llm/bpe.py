@@ -23,7 +23,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE = 600_000
 _MARK = "\x01"
 _SIMPLE = regex.compile(r"[\x21-\x7E¡-¬®-ſ]+")
+_ALL_SIMPLE = regex.compile(r"[\n\x21-\x7E¡-¬®-ſ]+")
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+#: Beyond these characters, texts are not lowered before they are cut (the library lowers them after its normalization).
+_ODD = regex.compile(r"[^\x00-\x7E¡-¬®-ſ]")
 
 
 def _byte_chars() -> list[str]:
@@ -89,30 +92,28 @@ class WordBpe:
                 return False
         return True
 
-    def _pieces(self, piece: str) -> list[str]:
-        low = piece.lower()
-        return [low] if low.isalpha() else self.pattern.findall(low)
-
     def _learn(self, pieces: list[str]) -> None:
         """Encode unseen pieces into the cache, as little-endian unsigned 32-bit ids."""
-        simple, other = [], []
-        for p in pieces:
-            (simple if _SIMPLE.fullmatch(p) and "<|" not in p else other).append(p)
+        simple, other, lines = pieces, [], "\n".join(pieces)
+        if not _ALL_SIMPLE.fullmatch(lines) or "<|" in lines:
+            simple = [p for p in pieces if _SIMPLE.fullmatch(p) and "<|" not in p]
+            other, lines = list(set(pieces).difference(simple)), "\n".join(simple)
         if other:
             for p, e in zip(other, self.library.encode_batch(other, add_special_tokens=False), strict=True):
                 self.cache[p] = np.array(e.ids, "<u4").tobytes()
-        parts = [self._pieces(p) for p in simple]
-        words = list({w for x in parts for w in x})
+        if not simple:
+            return
+        low = lines.lower().split("\n")
+        cut = {p: self.pattern.findall(p) for p in low if not p.isalpha()}
+        words = list({p for p in low if p not in cut}.union(*cut.values()))
         made = np.array(self.merge(f"{_MARK}\n".join([*words, ""])), np.int64)
         stops = ((np.flatnonzero(self.final[made]) + 1) * 4).tolist()
         if len(stops) != len(words):
             raise ValueError("a word has no end")
-        data, at, ids = self.ids[made].tobytes(), 0, {}
-        for w, to in zip(words, stops, strict=True):
-            ids[w] = data[at:to]
-            at = to
-        for p, x in zip(simple, parts, strict=True):
-            self.cache[p] = ids[x[0]] if len(x) == 1 else b"".join([ids[w] for w in x])
+        data = self.ids[made].tobytes()
+        ids = {w: data[at:to] for w, at, to in zip(words, [0, *stops], stops)}  # noqa: B905
+        for p, x in zip(simple, low, strict=True):
+            self.cache[p] = b"".join([ids[w] for w in cut[x]]) if x in cut else ids[x]
         for p in simple[:: max(1, len(simple) // 8)]:
             want = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
             if want != self.cache[p]:
@@ -120,13 +121,13 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [None if _SEPARATORS.search(t) else t.split() for t in texts]
+        split = [None if _SEPARATORS.search(t) else (t if _ODD.search(t) else t.lower()).split() for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache = self.cache
-        if new := {w for x in split if x for w in x if w not in cache}:
+        if new := set().union(*filter(None, split)) - self.cache.keys():
             self._learn(list(new))
+        known = self.cache.__getitem__
         return [
-            np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x is None else b"".join([cache[w] for w in x])
+            np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x is None else b"".join(map(known, x))
             for t, x in zip(texts, split, strict=True)
         ]
