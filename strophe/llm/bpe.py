@@ -1,7 +1,7 @@
 """Token ids of a byte-level BPE with word ends, for whole batches of words at once.
 
-The merges and the vocabulary come from the tokenizer's own file. Texts are cut at white space; each distinct piece is
-encoded once and kept in a bounded cache. Pieces of ordinary characters (ASCII, Latin-1, Latin Extended-A) are cut by
+The merges and the vocabulary come from the tokenizer's own file. Texts are cut at white space; each distinct piece of
+a batch is looked up once in a bounded cache and encoded where it is not there. Pieces of ordinary characters (ASCII, Latin-1, Latin Extended-A) are cut by
 the file's own pattern and their words go through tiktoken's merge loop in one call: a word ends with a mark that first
 of all joins its last byte, which makes that byte the vocabulary's word-final symbol. Merging by the rank of the joined
 bytes equals merging by the file's pairs, as every token, merged on its own with the ranks below it, ends as exactly its
@@ -11,10 +11,13 @@ go through the tokenizers library itself. A few pieces of every batch are encode
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -25,8 +28,8 @@ _MARK = "\x01"
 _SIMPLE = regex.compile(r"[\x21-\x7E¡-¬®-ſ]+")
 _ALL_SIMPLE = regex.compile(r"[\n\x21-\x7E¡-¬®-ſ]+")
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
-#: Beyond these characters, texts are not lowered before they are cut (the library lowers them after its normalization).
-_ODD = regex.compile(r"[^\x00-\x7E¡-¬®-ſ]")
+#: Texts without these characters are lowered and cut by Arrow; others keep what the library's normalization may need.
+_ODD = regex.compile(r"[^\x00-\x1B\x20-\x7E¡-¬®-ſ]")
 
 
 def _byte_chars() -> list[str]:
@@ -119,15 +122,45 @@ class WordBpe:
             if want != self.cache[p]:
                 raise ValueError(f"the tokenizers library encodes {p!r} otherwise")
 
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        out = list(map(self.cache.get, pieces))
+        if new := [i for i, x in enumerate(out) if x is None]:
+            self._learn([pieces[i] for i in new])
+            for i in new:
+                out[i] = self.cache[pieces[i]]
+        return out
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without odd characters: each distinct piece is looked up once, ids are gathered by numpy."""
+        pieces = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        flat = pieces.flatten().dictionary_encode()
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(flat.dictionary)], flat.dictionary), pa.scalar("\n", pa.large_string()))[0].as_py()
+        ids = self._known(lines.split("\n"))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        at = flat.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        take = np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])
+        data = np.frombuffer(b"".join(ids), "<u4")[take].tobytes()
+        stops = (4 * ends[pieces.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in itertools.pairwise(stops)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [None if _SEPARATORS.search(t) else (t if _ODD.search(t) else t.lower()).split() for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        if new := set().union(*filter(None, split)) - self.cache.keys():
-            self._learn(list(new))
-        known = self.cache.__getitem__
-        return [
-            np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x is None else b"".join(map(known, x))
-            for t, x in zip(texts, split, strict=True)
-        ]
+        odd = [_ODD.search(t) is not None for t in texts]
+        plain = iter(self._plain([t for t, x in zip(texts, odd, strict=True) if not x]) if not all(odd) else ())
+        out = []
+        for t, x in zip(texts, odd, strict=True):
+            if not x:
+                out.append(next(plain))
+            elif _SEPARATORS.search(t):
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                pieces = t.split()
+                known = dict(zip(distinct := list(set(pieces)), self._known(distinct), strict=True))
+                out.append(b"".join([known[p] for p in pieces]))
+        return out
