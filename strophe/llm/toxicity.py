@@ -92,14 +92,19 @@ def held_out(doc: Column) -> Column:
     return F.pmod(F.crc32(doc.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", max_rows: int = MAX_LABELLED) -> DataFrame:
-    """(text, toxic) of at most about ``max_rows`` labelled rows; the bounded label side is broadcast."""
+def known_labels(labels: DataFrame, doc: str = "doc_id", max_rows: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, toxic) of at most about ``max_rows`` labelled documents that are not held out."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col(doc).isNotNull()).filter(~held_out(F.col(doc)))
     known = known.groupBy(F.col(doc).alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = known.count()
     if n > max_rows:
         share = int(max_rows / n * (1 << 20))
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    return known
+
+
+def training_rows(docs: DataFrame, known: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """(text, toxic) of the documents in ``known_labels``, which are few enough to be broadcast."""
     return docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
 
 
@@ -190,8 +195,8 @@ def shared_evidence(fired: np.ndarray, a: np.ndarray, b: np.ndarray, start: Labe
     return 1 / np.clip(np.where(rho > CORRELATED, rho, 0).sum(0), 1, None)
 
 
-def votes_of_all(docs: DataFrame, model: Model, text: str, doc: str) -> DataFrame:
-    """(votes, n) of all rows that are not held out: equal votes are one row."""
+def votes_of_all(docs: DataFrame, model: Model, text: str, doc: str, known: DataFrame | None = None) -> DataFrame:
+    """(votes, n) of all rows that are not held out and not in ``known_labels``: equal votes are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("toxicity")
@@ -200,8 +205,10 @@ def votes_of_all(docs: DataFrame, model: Model, text: str, doc: str) -> DataFram
                 seen = Counter(tuple(sorted(v for v in model.votes(t) if v < model.voters)) for t in batch.column("text").slice(at, 1000).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
 
-    rows = docs.filter(~F.coalesce(held_out(F.col(f"`{doc}`")), F.lit(False))).select(F.col(f"`{text}`").alias("text"))
-    return stored(rows.mapInArrow(run, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")), "votes")
+    rows = docs.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    if known is not None:
+        rows = rows.join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti")
+    return stored(rows.select("text").mapInArrow(run, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")), "votes")
 
 
 def _expected(votes: DataFrame, rates: LabelModel, m: int) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -264,7 +271,8 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, l2: float = 1.0, steps
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", max_rows: int = MAX_LABELLED) -> Model:
-    train = stored(training_rows(docs, labels, text, doc, max_rows), "toxic-train")
+    known = known_labels(labels, doc, max_rows)
+    train = stored(training_rows(docs, known, text, doc), "toxic-train")
     seen = {r["toxic"]: r["n"] for r in train.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     train_ = train.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     pos, neg = seen.get(1, 0), seen.get(0, 0)
@@ -276,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_
     prefixes = sorted(h for h, k in heads.items() if k > 2)
     model = Model(lexicon={w: i for i, w in enumerate(lexicon)}, prefixes={h: len(lexicon) + i for i, h in enumerate(prefixes)})
     fired, a, b = vote_rows(train_, model)
-    votes = votes_of_all(docs, model, text, doc)
+    votes = votes_of_all(docs, model, text, doc, known)
     rates = label_model(fired[:, : model.voters], a, b, votes)
     bias, weights = logistic(fired, rates.posterior(fired[:, : model.voters]), a + b)
     model.bias, model.weights = bias, weights.tolist()

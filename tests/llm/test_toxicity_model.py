@@ -31,6 +31,15 @@ def test_votes_count_every_row_that_is_not_held_out(spark, tables):
     assert sum(r.n for r in votes if {0, 1} <= set(r.votes)) == both
 
 
+def test_a_row_counts_by_its_label_or_by_its_votes(spark, tables):
+    docs, labels = tables
+    known = toxicity.known_labels(labels)
+    train = toxicity.training_rows(docs, known)
+    others = toxicity.votes_of_all(docs, toxicity.Model(lexicon={"idiot": 0}), "text", "doc_id", known).collect()
+    assert train.count() > 1000
+    assert sum(r.n for r in others) + train.count() == docs.filter(~toxicity.held_out(docs["doc_id"])).count()
+
+
 def test_rates_are_found_without_a_rows_own_label(spark):
     """Votes drawn from known rates, a tenth of the rows labelled: the rates and the posterior come out."""
     rng = np.random.default_rng(3)
