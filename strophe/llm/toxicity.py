@@ -87,6 +87,13 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``n`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def held_out(doc: Column) -> Column:
     """Rows whose labels are never learned from."""
     return F.pmod(F.crc32(doc.cast("string").cast("binary")), F.lit(4)) == 2
@@ -122,9 +129,10 @@ def mine(train: DataFrame, pos: int, neg: int) -> list[str]:
     """Words that speak for toxicity: counted over the training rows in Spark, tested on the driver."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [sorted(set(_WORD.findall((t or "").lower()))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.string())), batch.column("toxic")], ["words", "toxic"])
+        only("toxicity")
+        for part in _slices(batches, 200):
+            sets = [sorted(set(_WORD.findall((t or "").lower()))) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.string())), part.column("toxic")], ["words", "toxic"])
 
     counts = (
         train.mapInArrow(words, "words array<string>, toxic int")
@@ -147,9 +155,9 @@ def vote_rows(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("toxicity")
-        for batch in batches:
-            votes = [sorted(model.votes(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int32())), batch.column("toxic")], ["votes", "toxic"])
+        for part in _slices(batches, 1000):
+            votes = [sorted(model.votes(t)) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int32())), part.column("toxic")], ["votes", "toxic"])
 
     cast = train.mapInArrow(run, "votes array<int>, toxic int").groupBy("votes").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     rows = cast.orderBy("votes").collect()  # at most MAX_LABELLED
@@ -200,10 +208,9 @@ def votes_of_all(docs: DataFrame, model: Model, text: str, doc: str, known: Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("toxicity")
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                seen = Counter(tuple(sorted(v for v in model.votes(t) if v < model.voters)) for t in batch.column("text").slice(at, 1000).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
+        for part in _slices(batches, 1000):
+            seen = Counter(tuple(sorted(v for v in model.votes(t) if v < model.voters)) for t in part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
 
     rows = docs.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     if known is not None:
@@ -301,11 +308,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("toxicity")
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                scores = pa.array([model.score(t) for t in part.column(text).to_pylist()], pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [scores], [*names, out])
+        for part in _slices(batches, 1000):
+            scores = pa.array([model.score(t) for t in part.column(text).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [scores], [*names, out])
 
     return docs.mapInArrow(run, schema)
 
