@@ -59,6 +59,30 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
 
 _TRACK = ("title", "artists", "album", "album_artists", "duration_ms")
+_POINTS = ("title_match", "artist_match", "album_match", "album_artist_match", "duration_match", "score", "match", "match_value")
+
+
+def _kind(query: str, prefix: str) -> Column:
+    """128 bits of a query and the values that are compared: rows that are equal in them are scored once."""
+    return F.unhex(F.md5(F.to_json(F.struct(query, *[f"{prefix}_{c}" for c in _TRACK]))))
+
+
+def _by_kind(tracks: DataFrame, catalogue: DataFrame, full_search: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tracks with the queries whose answers count (t_kind), scored pairs of kinds (t_kind, c_kind), and candidates (c_kind).
+
+    Copies of a track or of a candidate are of one kind, so the pairs of kinds grow with what differs, not with the rows."""
+    asked = queries_of(tracks).join(catalogue.select("query").distinct(), "query")
+    first = F.min("level").over(Window.partitionBy("track_id"))
+    asked = asked.withColumn("first", first).filter((F.col("level") == F.col("first")) | (F.lit(full_search) & (F.col("first") > 0)))
+    t = asked.join(tracks.select("track_id", *[F.col(c).alias(f"t_{c}") for c in _TRACK]), "track_id").withColumn("t_kind", _kind("query", "t"))
+    c = catalogue.select("query", "cand_no", "id", *[F.col(c).alias(f"c_{c}") for c in _TRACK]).withColumn("c_kind", _kind("query", "c"))
+    kinds = [x.select("query", k, *[f"{k[0]}_{f}" for f in _TRACK]).dropDuplicates([k]) for x, k in ((t, "t_kind"), (c, "c_kind"))]
+    return t, score_pairs(kinds[0].join(kinds[1], "query")).select("t_kind", "c_kind", *_POINTS), c.drop("query")
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    order = Window.partitionBy("track_id").orderBy(F.desc("match_value"), "level", "cand_no")
+    return found.drop("t_kind", "c_kind").withColumn("place", F.row_number().over(order))
 
 
 def search(tracks: DataFrame, catalogue: DataFrame, full_search: bool = False) -> DataFrame:
@@ -78,6 +102,11 @@ def search(tracks: DataFrame, catalogue: DataFrame, full_search: bool = False) -
 
 
 def best(tracks: DataFrame, catalogue: DataFrame, minimum: int | None = None) -> DataFrame:
-    """The best result of each track that has one, of at least a level's value."""
-    top = search(tracks, catalogue).filter("place = 1")
+    """The best result of each track that has one, of at least a level's value: each kind of track takes the first of the
+    best kind's candidates."""
+    t, pairs, c = _by_kind(tracks, catalogue, False)
+    heads = c.groupBy("c_kind").agg(F.min_by(F.struct(*[x for x in c.columns if x != "c_kind"]), F.struct("cand_no", "id")).alias("head")).select("c_kind", "head.*")
+    order = Window.partitionBy("t_kind").orderBy(F.desc("match_value"), "cand_no")
+    top = pairs.join(heads, "c_kind").withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
+    top = _placed(t.join(top, "t_kind")).filter("place = 1")
     return top if minimum is None else top.filter(F.col("match_value") >= minimum)
