@@ -92,13 +92,8 @@ def search(tracks: DataFrame, catalogue: DataFrame, full_search: bool = False) -
     title, artists, album, album_artists, duration_ms. Without ``full_search`` only the first level with answers
     counts; else, if the first has none, all do. Results stand by match, then level, then the catalogue's order.
     """
-    asked = queries_of(tracks)
-    found = asked.join(catalogue.select("query", "cand_no", "id", *[F.col(c).alias(f"c_{c}") for c in _TRACK]), "query")
-    first = F.min("level").over(Window.partitionBy("track_id"))
-    found = found.withColumn("first", first).filter((F.col("level") == F.col("first")) | (F.lit(full_search) & (F.col("first") > 0)))
-    pairs = found.join(tracks.select("track_id", *[F.col(c).alias(f"t_{c}") for c in _TRACK]), "track_id")
-    order = Window.partitionBy("track_id").orderBy(F.desc("match_value"), "level", "cand_no")
-    return score_pairs(pairs).withColumn("place", F.row_number().over(order))
+    t, pairs, c = _by_kind(tracks, catalogue, full_search)
+    return _placed(t.join(pairs, "t_kind").join(c, "c_kind"))
 
 
 def best(tracks: DataFrame, catalogue: DataFrame, minimum: int | None = None) -> DataFrame:

@@ -31,3 +31,19 @@ def test_best_of_copies(spark, copies, scored):
     assert got == {key: first[kind] for key, _, _, kind, _ in ROWS}
     # Eight kinds of track (title, type, size); at most four kinds of candidate (type, size) for each.
     assert scored and max(scored) <= 8 * 4
+
+
+def test_scores_of_copies(spark, copies, scored):
+    found = catalogue.queries()["track_score"](spark, copies).collect()
+    want = {(a, b) for a, _, _, kind, _ in ROWS for b, _, _, other, _ in ROWS if a % 2 or kind == other}
+    assert len(found) == len(want) and {(r.track_id, int(r.id)) for r in found} == want
+    assert scored and max(scored) <= 8 * 4
+
+
+def test_places_of_copies(spark, copies):
+    tracks, candidates = catalogue._tracks(spark, copies).filter("track_id < 4"), catalogue._catalogue(spark, copies)
+    found = search.search(tracks, candidates).select("track_id", "place", "match_value", "cand_no").collect()
+    for key in range(4):
+        mine = sorted((r.place, -r.match_value, r.cand_no) for r in found if r.track_id == key)
+        assert [p for p, _, _ in mine] == [*range(1, len(mine) + 1)]
+        assert [x[1:] for x in mine] == sorted(x[1:] for x in mine)
