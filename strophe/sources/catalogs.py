@@ -140,4 +140,5 @@ def kugou_lyric(content: Column) -> Column:
 def qq_lyric(lyric: Column, qrc_t: Column, lrc_t: Column) -> Column:
     """A lyric decoded where its type flag says it is encrypted; others, empty ones too, are null."""
     flag = F.coalesce(F.nullif(qrc_t, F.lit(0)), lrc_t)
-    return F.when((F.coalesce(flag, F.lit(0)) != 0) & (lyric != ""), decode_qrc(lyric))
+    coded = (F.coalesce(flag, F.lit(0)) != 0) & (lyric != "")
+    return F.when(coded, decode_qrc(F.when(coded, lyric)))  # a UDF gets every row, so the others are null to it
