@@ -13,12 +13,33 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.llm import common, decontaminate, line_dedup, ngram_join, packing, toxicity
 
+#: Rows of a batch sent to Python. Texts are long and one executor runs all stages: what a large batch took stays in the
+#: pools of its JVM for the stages after.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_batches(stage: Stage) -> Stage:
+    """What a stage runs before it returns, in small batches."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with common.session_conf(spark, BATCH):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@in_batches
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
@@ -32,6 +53,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
+@in_batches
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.dedup(docs)
 
@@ -40,6 +62,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.remove_documents(docs, common.table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+@in_batches
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
@@ -60,7 +83,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{str(sf_dir).rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
         with common.scratch(spark) as made:  # a stage's tables go when its result is there, and so does the stage before
-            out = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            with common.session_conf(spark, BATCH):
+                out = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
             made.remove(out._strophe_path)
         common.discard(docs)
         docs = out
